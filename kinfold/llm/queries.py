@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import near_dedup
-from kinfold.llm.common import read
+from kinfold.llm import huffman, near_dedup
+from kinfold.llm.common import read, scratch
+
+
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as Huffman-coded token ids, written and read back."""
+    path = scratch(spark, "token-ids")
+    huffman.write(read(spark, sf_dir, "documents"), path, word_bpe())
+    return huffman.read(spark, path)
 
 
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +28,5 @@ def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-QUERIES = {"op6_minmax_near_dedup": op6_minmax_near_dedup}
+QUERIES = {"op2_huffman_token_ids": op2_huffman_token_ids, "op6_minmax_near_dedup": op6_minmax_near_dedup}
 ORACLE: dict[str, str] = {}
