@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import mix, shingle_hashes, stage, text_chunks, word_hashes
+from kinfold.llm.common import bound_batches, mix, shingle_hashes, stage, text_chunks, word_hashes
 from kinfold.llm.components import components
 
 #: Members of one bucket that a task compares with as many others at once.
@@ -131,6 +131,7 @@ def near_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     as they are given; rows that share a doc_id but not the text are grouped each by its own text.
     An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     num, den = threshold
     rows, bands = banding(num / den)
     need = _agreement(num / den, rows * bands)
@@ -203,12 +204,15 @@ def _rest(members: DataFrame, part: DataFrame, need: int, num: int, den: int) ->
         p, q = g[g["side"]], g[~g["side"]]
         if not len(p) or not len(q):
             return pd.DataFrame({"u": [], "v": []}).astype("int64")
-        sig = np.stack([np.frombuffer(s, np.uint8) for s in q["sig"]])
+        sig = np.ascontiguousarray(np.stack([np.frombuffer(s, np.uint8) for s in q["sig"]]).T)
         n, comp, node = q["n"].to_numpy(), q["component"].to_numpy(), q["node"].to_numpy()
-        us, vs = [], []
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, k, c, i in zip(p["sig"], p["n"], p["component"], p["node"], strict=True):
             may = np.flatnonzero((comp != c) & (np.minimum(n, k) * den >= np.maximum(n, k) * num))
-            ok = may[(sig[may] == np.frombuffer(s, np.uint8)).sum(1) >= need]
+            if not len(may):
+                continue
+            agree = (sig == np.frombuffer(s, np.uint8)[:, None]).view(np.uint8).sum(0, dtype=np.uint16)
+            ok = may[agree[may] >= need]
             us.append(np.minimum(node[ok], i)), vs.append(np.maximum(node[ok], i))
         return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import huffman, near_dedup
-from kinfold.llm.common import read, scratch
+from kinfold.llm import decontaminate, huffman, mixing, near_dedup, quality, sharding, toxicity
+from kinfold.llm.common import is_held_out, read, scratch
 
 
 def word_bpe() -> str:
@@ -28,5 +28,64 @@ def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-QUERIES = {"op2_huffman_token_ids": op2_huffman_token_ids, "op6_minmax_near_dedup": op6_minmax_near_dedup}
+def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of all sources takes of each document."""
+    found = mixing.copies(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op7_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a window similar to a benchmark item."""
+    return decontaminate.contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    found = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    found = sharding.balanced_shards(read(spark, sf_dir, "documents"), 16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_huffman_token_ids, op5_systematic_mix, op6_minmax_near_dedup, op7_simhash_decontamination, op8_nb_ngram_toxicity, op9_additive_quality, op10_differencing_shards)
+}
+
 ORACLE: dict[str, str] = {}
+ORACLE["op5_systematic_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, coalesce('0' || source, '1') AS k, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), per AS (
+  SELECT k, sum(size)::BIGINT AS source_size FROM sized GROUP BY k
+), weighed AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY k) - 1) % 3 + 1)::INT] AS weight FROM per
+), levels AS (
+  SELECT *, cap / weight AS lim, 1.5::DOUBLE * (sum(source_size) OVER ())::BIGINT AS total,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+    sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS remaining
+  FROM weighed
+), aims AS (
+  SELECT k, source_size, CASE WHEN max(CASE WHEN lim > (total - used) / remaining THEN (total - used) / remaining END) OVER () IS NULL THEN cap
+    ELSE least(cap, weight * max(CASE WHEN lim > (total - used) / remaining THEN (total - used) / remaining END) OVER ()) END AS target
+  FROM levels
+), steps AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * 1073741824)::BIGINT ELSE 0 END AS e, ('0x' || substr(md5('mix/' || k), 1, 7))::BIGINT * 4 AS u FROM aims
+), walked AS (
+  SELECT doc_id, size, source_size, target, e, u,
+    (sum(e) OVER (PARTITION BY k ORDER BY size DESC, md5(coalesce(doc_id::VARCHAR, '')), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto
+  FROM sized JOIN steps USING (k)
+)
+SELECT doc_id, size, source_size, target, (((upto + u) // 1073741824 - (upto - e + u) // 1073741824) * size)::BIGINT AS taken FROM walked
+"""
