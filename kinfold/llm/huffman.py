@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,74 +31,73 @@ BLOCK_IDS, LANE = 1 << 17, 128
 #: Longest code word; the decoding table has 2 to this power entries.
 MAX_BITS = 18
 #: Words that a worker remembers the ids of.
-MEMORY = 400_000
+MEMORY = 800_000
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Whole texts to ids through the tokenizers library, each distinct word once while it is remembered.
 
     Only for tokenizers that drop white space before they split, so that no token spans a space or a
-    line feed: the ids of a text are then those of its pieces between them. Lower-casing comes first
-    where it is certain to be the tokenizer's own (texts within Latin-1).
+    line feed: the ids of a text are then those of its pieces between them, which this dictionary holds.
+    A piece of letters is one pre-token, so the library's model can encode it at once; a stop or comma
+    after letters is a second one. Lower-casing comes first where it is certain to be the tokenizer's own
+    (texts within Latin-1).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
         spec = json.loads(self.tokenizer.to_str())
         steps = spec["normalizer"]["normalizers"] if spec["normalizer"] else []
-        self.lower = any(x["type"] == "Lowercase" for x in steps)
-        split = [x for x in spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]]) if x["type"] == "Split"]
+        self.lower = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        split = [x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
         self.by_word = bool(split) and split[0]["behavior"] == "Removed" and split[0]["invert"] and not any(x["lstrip"] or x["rstrip"] for x in spec["added_tokens"])
         self.special = tuple(x["content"] for x in spec["added_tokens"])
-        self.ids: dict[str, bytes] = {"": b""}
-
-    def _add(self, words: list[str]) -> None:
-        ids, plain, whole = self.ids, [], []
-        for w in words:
-            # letters followed by one stop or comma: two pre-tokens, the letters first
-            if w[-1] in ".,":
-                if (stem := w[:-1]).isalpha():
-                    whole.append(w)
-                    if stem not in ids:
-                        plain.append(stem)
-                    continue
-            plain.append(w)
-        plain = list(dict.fromkeys([*plain, *({w[-1] for w in whole} - ids.keys())]))
-        for w, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            ids[w] = np.array(e.ids, "<u4").tobytes()
-        for w in whole:
-            ids[w] = ids[w[:-1]] + ids[w[-1]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers; null is empty."""
+        # byte-level alphabet: a printable Latin-1 byte is its own character, others follow from 256 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        shown = [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+        self.bytes = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > MEMORY:
+            self.clear()
+            self[""] = b""
+        plain = self.lower and word.isalpha() and word.islower() and (word.isascii() or max(word) < "\u0100")
+        if plain:
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))]
+        elif word[-1] in ".," and word[:-1].isalpha():
+            found = self[word] = self[word[:-1]] + self[word[-1]]
+            return found
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        found = self[word] = array(self.code, ids).tobytes()
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
         if not self.by_word:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        out: list[bytes] = []
-        pieces: list[list[str]] = []
+            return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        out = []
         for t in texts:
             t = t or ""
             if self.lower:
                 try:
                     t.encode("latin-1")
-                    t = t if any(s in t.lower() for s in self.special) else t.lower()
+                    low = t.lower()
+                    t = t if any(s in low for s in self.special) else low
                 except UnicodeEncodeError:
                     pass
-            pieces.append(t.replace("\n", " ").split(" "))
-        words: set[str] = set()
-        for p in pieces:
-            words.update(p)
-        if missing := [w for w in words if w not in self.ids]:
-            if len(self.ids) + len(missing) > MEMORY:
-                self.ids, missing = {"": b""}, [w for w in words if w]
-            self._add(missing)
-        for p in pieces:
-            out.append(b"".join(map(self.ids.__getitem__, p)))
+            out.append(np.frombuffer(b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))), self.kind))
         return out
 
 
@@ -188,17 +188,13 @@ def _encode(docs: DataFrame, tokenizer: str, end_id: int, cuts: list[int]) -> Da
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, pack, end, bounds = encoder(tokenizer), zstandard.ZstdCompressor(level=1), np.array([end_id], "<u4").tobytes(), np.array(cuts, np.int64)
+        to_ids, pack, bounds = encoder(tokenizer), zstandard.ZstdCompressor(level=1), np.array(cuts, np.int64)
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
                 part = np.searchsorted(bounds, batch.column("doc_id").cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False))
-                n, packed = [], []
-                for x in to_ids.encode(batch.column("text").to_pylist()):
-                    ids = np.frombuffer(x + end, "<u4")
-                    n.append(len(ids))
-                    ids = ids.astype("<u2") if ids.max() < 65536 else ids
-                    packed.append(bytes([ids.itemsize]) + pack.compress(ids.tobytes()))
+                ids = [np.append(x, x.dtype.type(end_id)) for x in to_ids.encode(batch.column("text").to_pylist())]
+                n, packed = [len(x) for x in ids], [bytes([x.itemsize]) + pack.compress(x.tobytes()) for x in ids]
                 yield pa.record_batch([pa.array(part, pa.int32()), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["part", "doc_id", "n", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"part int, doc_id {kind}, n long, ids binary")
