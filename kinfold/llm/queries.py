@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontaminate, huffman, mixing, near_dedup, quality, sharding, toxicity
+from kinfold.llm import decontaminate, huffman, mixing, near_dedup, preference, quality, sharding, topk, toxicity
 from kinfold.llm.common import is_held_out, read, scratch
 
 
+def op1_preference_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations against alternatives with another last answer, as rendered segments."""
+    chosen, rejected = preference.answer_pairs(read(spark, sf_dir, "conversations"))
+    return preference.segments(chosen, rejected)
+
+
 def word_bpe() -> str:
     import public_tokenizers
 
@@ -28,6 +34,12 @@ def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op3_block_pruned_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all vectors for every 20th one."""
+    vectors = topk.integer_vectors(read(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix of all sources takes of each document."""
     found = mixing.copies(read(spark, sf_dir, "documents"))
@@ -60,7 +72,7 @@ def op10_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_huffman_token_ids, op5_systematic_mix, op6_minmax_near_dedup, op7_simhash_decontamination, op8_nb_ngram_toxicity, op9_additive_quality, op10_differencing_shards)
+    for f in (op1_preference_segments, op2_huffman_token_ids, op3_block_pruned_top_k, op5_systematic_mix, op6_minmax_near_dedup, op7_simhash_decontamination, op8_nb_ngram_toxicity, op9_additive_quality, op10_differencing_shards)
 }
 
 ORACLE: dict[str, str] = {}
@@ -89,3 +101,38 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, target, (((upto + u) // 1073741824 - (upto - e + u) // 1073741824) * size)::BIGINT AS taken FROM walked
 """
+
+ORACLE["op1_preference_segments"] = r"""
+WITH numbered AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS seq FROM conversations WHERE conv_id IS NOT NULL
+), answers AS (
+  SELECT conv_id, seq AS at_seq, text, lead(conv_id) OVER (ORDER BY conv_id) AS next_conv, lead(text) OVER (ORDER BY conv_id) AS other
+  FROM (SELECT *, max(seq) OVER (PARTITION BY conv_id) AS last_seq FROM numbered WHERE role = 'assistant') WHERE seq = last_seq
+), pairs AS (
+  SELECT * FROM answers WHERE next_conv IS NOT NULL
+), turns AS (
+  SELECT n.conv_id AS pair_id, n.seq, n.role, n.text AS t1, CASE WHEN n.seq = p.at_seq THEN p.other ELSE n.text END AS t2,
+    CASE WHEN p.text IS NOT DISTINCT FROM p.other THEN NULL ELSE p.at_seq END AS split
+  FROM numbered n JOIN pairs p ON p.conv_id = n.conv_id
+), parts AS (
+  SELECT pair_id, CASE WHEN split IS NULL OR seq < split THEN 'prompt' ELSE 'chosen' END AS part, seq, role, t1 AS text FROM turns
+  UNION ALL SELECT pair_id, 'rejected', seq, role, t2 FROM turns WHERE seq >= split
+), rendered AS (
+  SELECT pair_id, part, seq, role, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered FROM parts
+)
+SELECT pair_id, part, seq, role, rendered, part <> 'prompt' AND role IS NOT DISTINCT FROM 'assistant' AS train,
+  coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin
+FROM rendered
+"""
+ORACLE["op3_block_pruned_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
