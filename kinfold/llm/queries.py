@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontaminate, huffman, mixing, near_dedup, preference, quality, sharding, topk, toxicity
+from kinfold.llm import decontaminate, huffman, line_dedup, mixing, near_dedup, preference, quality, sharding, topk, toxicity
 from kinfold.llm.common import is_held_out, read, scratch
 
 
@@ -40,6 +40,12 @@ def op3_block_pruned_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op4_suffix_array_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without later copies of runs of lines of 50 words or more."""
+    found = line_dedup.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("kept_chars"), F.crc32(F.col("text").cast("binary")).alias("kept_crc32"))
+
+
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix of all sources takes of each document."""
     found = mixing.copies(read(spark, sf_dir, "documents"))
@@ -72,7 +78,7 @@ def op10_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_preference_segments, op2_huffman_token_ids, op3_block_pruned_top_k, op5_systematic_mix, op6_minmax_near_dedup, op7_simhash_decontamination, op8_nb_ngram_toxicity, op9_additive_quality, op10_differencing_shards)
+    for f in (op1_preference_segments, op2_huffman_token_ids, op3_block_pruned_top_k, op4_suffix_array_line_dedup, op5_systematic_mix, op6_minmax_near_dedup, op7_simhash_decontamination, op8_nb_ngram_toxicity, op9_additive_quality, op10_differencing_shards)
 }
 
 ORACLE: dict[str, str] = {}
