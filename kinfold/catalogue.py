@@ -1,4 +1,543 @@
-"""All registered queries and their SQL."""
+"""All registered queries and the SQL that each must agree with.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+The job is the tree customer -> orders -> lineitem (lineitem has no key) with a predicate on customer.
+What a run would have left behind (a job log, a destination) is derived from the tables themselves.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinfold import state
+from kinfold.functions.digest import table_digest
+from kinfold.graph import Graph
+from kinfold.operators import audit
+from kinfold.operators.closure import Keys, batches, closure, discovery_stats, expand, root_batch, table_counts
+from kinfold.operators.copy import conflicts, insert_ignore
+from kinfold.operators.estimate import PLACEHOLDERS, estimate, payload, placeholders
+from kinfold.operators.purge import delete_chunks, key_uniqueness, orphans, remaining
+from kinfold.operators.verify import by_count, by_digest, row_diff
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+WHERE, SIZE, AFTER = "c_nationkey = 3", 20, 500
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def job_graph() -> Graph:
+    g = Graph("customer")
+    for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("lineitem", None)):
+        g.add_table(t, k)
+    g.add_edge("customer", "orders", "o_custkey")
+    g.add_edge("orders", "lineitem", "l_orderkey")
+    return g
+
+
+def diamond() -> Graph:
+    """nation -> customer -> orders and nation -> supplier; lineitem-like part rows hang on both sides by orders."""
+    g = Graph("nation")
+    for t, k in (("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("links", "link")):
+        g.add_table(t, k)
+    g.add_edge("nation", "customer", "c_nationkey")
+    g.add_edge("nation", "supplier", "s_nationkey")
+    g.add_edge("customer", "links", "custkey")
+    g.add_edge("supplier", "links", "suppkey")
+    return g
+
+
+def job_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: table(spark, sf_dir, t) for t in job_graph().keys}
+
+
+def job_closure(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, Keys]]:
+    tables = job_tables(spark, sf_dir)
+    return tables, closure(job_graph(), tables, root_batch(tables["customer"], "c_custkey", WHERE))
+
+
+_ROOT = f"SELECT c_custkey FROM customer WHERE {WHERE}"
+_ORDERS = f"SELECT o_orderkey FROM orders WHERE o_custkey IN ({_ROOT})"
+_LINES = f"l_orderkey IN ({_ORDERS})"
+
+# -- root scans and batches ------------------------------------------------------------------------------
+
+
+@query(f"{_ROOT} ORDER BY c_custkey LIMIT {SIZE}")
+def root_batch_first(spark, sf_dir):
+    return root_batch(table(spark, sf_dir, "customer"), "c_custkey", WHERE, limit=SIZE)
+
+
+@query(f"{_ROOT} AND c_custkey > {AFTER} ORDER BY c_custkey LIMIT {SIZE}")
+def root_batch_after_checkpoint(spark, sf_dir):
+    return root_batch(table(spark, sf_dir, "customer"), "c_custkey", WHERE, after=AFTER, limit=SIZE)
+
+
+@query("SELECT c_custkey FROM customer")
+def root_batch_all(spark, sf_dir):
+    return root_batch(table(spark, sf_dir, "customer"), "c_custkey", "1=1")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-08-02 00:00:00' - INTERVAL 2 YEAR")
+def root_batch_dated(spark, sf_dir):
+    """A predicate in MySQL's dialect."""
+    return root_batch(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderdate < DATE_SUB(TIMESTAMP_NTZ'1998-08-02 00:00:00', INTERVAL 2 YEAR)")
+
+
+@query(f"SELECT batch, count(*) AS rows, min(c_custkey) AS first_key, max(c_custkey) AS checkpoint FROM (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // {SIZE} AS batch FROM customer) GROUP BY batch")
+def batch_plan(spark, sf_dir):
+    return batches(root_batch(table(spark, sf_dir, "customer"), "c_custkey", None), "c_custkey", SIZE)
+
+
+@query(f"SELECT 'orders' AS \"table\", chunk, count(*) AS rows FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 50 AS chunk FROM ({_ORDERS})) GROUP BY chunk")
+def delete_chunk_plan(spark, sf_dir):
+    _, found = job_closure(spark, sf_dir)
+    return delete_chunks(found["orders"].rows, "o_orderkey", 50, "orders")
+
+
+# -- discovery -------------------------------------------------------------------------------------------
+
+
+@query(_ORDERS)
+def discover_orders(spark, sf_dir):
+    _, found = job_closure(spark, sf_dir)
+    return found["orders"].rows
+
+
+@query(f"SELECT * FROM lineitem WHERE {_LINES}")
+def discover_lineitem(spark, sf_dir):
+    tables, found = job_closure(spark, sf_dir)
+    return found["lineitem"].of(tables["lineitem"])
+
+
+_LINKS = "SELECT o_orderkey AS link, o_custkey AS custkey, o_orderkey % 97 + 1 AS suppkey FROM orders"
+
+
+@query(f"SELECT link FROM ({_LINKS}) WHERE custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (3, 7)) OR suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (3, 7))")
+def discover_diamond(spark, sf_dir):
+    """A table below two parents: what either leads to, each key once."""
+    tables = {t: table(spark, sf_dir, t) for t in ("nation", "customer", "supplier")}
+    tables["links"] = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("link"), F.col("o_custkey").alias("custkey"), (F.col("o_orderkey") % 97 + 1).alias("suppkey"))
+    found = closure(diamond(), tables, root_batch(tables["nation"], "n_nationkey", "n_nationkey IN (3, 7)"))
+    return found["links"].rows
+
+
+@query(f"SELECT * FROM (SELECT count(*) FILTER (n > 0) AS tables_scanned, sum(n)::BIGINT AS records_found, (max(l) FILTER (n > 0) + 1)::INT AS levels FROM (SELECT 0 AS l, (SELECT count(*) FROM ({_ROOT})) AS n UNION ALL SELECT 1, (SELECT count(*) FROM ({_ORDERS})) UNION ALL SELECT 2, (SELECT count(*) FROM lineitem WHERE {_LINES})))")
+def discovery_totals(spark, sf_dir):
+    tables, found = job_closure(spark, sf_dir)
+    return discovery_stats(job_graph(), tables, found)
+
+
+QUERIES["discovery_stats"], ORACLE["discovery_stats"] = QUERIES.pop("discovery_totals"), ORACLE.pop("discovery_totals")
+
+# -- estimates -------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT count(*) AS rows FROM ({_ROOT})")
+def estimate_root(spark, sf_dir):
+    return root_batch(table(spark, sf_dir, "customer"), "c_custkey", WHERE).agg(F.count("*").alias("rows"))
+
+
+@query(f"SELECT count(*) AS rows FROM lineitem WHERE {_LINES}")
+def estimate_chain_lineitem(spark, sf_dir):
+    tables = job_tables(spark, sf_dir)
+    roots = root_batch(tables["customer"], "c_custkey", WHERE)
+    orders = expand(tables["orders"], "o_custkey", roots, ["o_orderkey"])
+    return expand(tables["lineitem"], "l_orderkey", orders, ["l_orderkey"]).agg(F.count("*").alias("rows"))
+
+
+@query(f"SELECT count(*) AS rows, ((count(*) + {SIZE - 1}) // {SIZE})::BIGINT AS batches FROM ({_ROOT})")
+def estimate_batches(spark, sf_dir):
+    roots = root_batch(table(spark, sf_dir, "customer"), "c_custkey", WHERE)
+    return roots.agg(F.count("*").alias("rows")).withColumn("batches", F.expr(f"(rows + {SIZE - 1}) div {SIZE}"))
+
+
+_ALL = f"SELECT 0 AS position, 'customer' AS \"table\", (SELECT count(*) FROM ({_ROOT})) AS rows UNION ALL SELECT 1, 'orders', (SELECT count(*) FROM ({_ORDERS})) UNION ALL SELECT 2, 'lineitem', (SELECT count(*) FROM lineitem WHERE {_LINES})"
+
+
+@query(_ALL)
+def estimate_all_tables(spark, sf_dir):
+    return estimate(job_graph(), job_tables(spark, sf_dir), WHERE)
+
+
+@query(f"SELECT position, \"table\", position AS level, rows FROM ({_ALL})")
+def closure_counts(spark, sf_dir):
+    tables, found = job_closure(spark, sf_dir)
+    return table_counts(job_graph(), tables, found)
+
+
+# -- copy, verification, purge: the destination has every third order already ----------------------------
+
+_COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+_DEST = f"SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 30 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0"
+
+
+def destination_orders(orders: DataFrame) -> DataFrame:
+    changed = F.when(F.col("o_orderkey") % 30 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    return orders.filter("o_orderkey % 3 = 0").withColumn("o_totalprice", changed)
+
+
+@query(f"SELECT {_COLS} FROM orders WHERE o_orderkey IN ({_ORDERS})")
+def copy_rows_orders(spark, sf_dir):
+    tables, found = job_closure(spark, sf_dir)
+    return found["orders"].of(tables["orders"])
+
+
+@query(f"SELECT {_COLS} FROM orders WHERE o_orderkey IN ({_ORDERS}) AND o_orderkey NOT IN (SELECT o_orderkey FROM ({_DEST}))")
+def insert_ignore_new_rows(spark, sf_dir):
+    tables, found = job_closure(spark, sf_dir)
+    return insert_ignore(found["orders"].of(tables["orders"]), destination_orders(tables["orders"]), ["o_orderkey"])
+
+
+_SHADOW = "SELECT c_custkey AS id, c_mktsegment || '/' || (c_custkey % 40) AS code FROM customer"
+
+
+@query(f"WITH s AS ({_SHADOW}), d AS (SELECT * FROM s WHERE id % 50 = 0) SELECT min(id) AS id, code FROM s WHERE id NOT IN (SELECT id FROM d) AND code NOT IN (SELECT code FROM d) GROUP BY code")
+def insert_ignore_unique(spark, sf_dir):
+    """Conflicts on a second unique key, with the destination and among the incoming rows."""
+    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit("/"), (F.col("c_custkey") % 40).cast("string")).alias("code"))
+    return insert_ignore(s, s.filter("id % 50 = 0"), ["id"], [["code"]])
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE o_orderkey IN ({_ORDERS}) AND o_orderkey IN (SELECT o_orderkey FROM ({_DEST}))")
+def strict_insert_conflicts(spark, sf_dir):
+    tables, found = job_closure(spark, sf_dir)
+    return conflicts(found["orders"].of(tables["orders"]), destination_orders(tables["orders"]), ["o_orderkey"])
+
+
+def both_sides(spark, sf_dir):
+    tables, found = job_closure(spark, sf_dir)
+    two = {t: found[t] for t in ("customer", "orders")}
+    return two, tables, tables | {"orders": destination_orders(tables["orders"])}
+
+
+_BOTH = f"SELECT 'customer' AS \"table\", (SELECT count(*) FROM ({_ROOT})) AS source_rows, (SELECT count(*) FROM ({_ROOT})) AS destination_rows UNION ALL SELECT 'orders', (SELECT count(*) FROM ({_ORDERS})), (SELECT count(*) FROM ({_DEST}) WHERE o_orderkey IN ({_ORDERS}))"
+
+
+@query(f"SELECT *, source_rows = destination_rows AS match FROM ({_BOTH})")
+def verify_count(spark, sf_dir):
+    return by_count(*both_sides(spark, sf_dir))
+
+
+@query(f"SELECT *, source_rows = destination_rows AS match FROM ({_BOTH})")
+def verify_sha256_tables(spark, sf_dir):
+    """The customers are the same on both sides, the orders are not."""
+    return by_digest(*both_sides(spark, sf_dir))
+
+
+@query(
+    "WITH t AS (SELECT sha256(concat_ws(chr(0), 'c_custkey=' || c_custkey, 'c_mktsegment=' || coalesce(strlen(c_mktsegment) || ':' || c_mktsegment, '~'), 'c_name=' || coalesce(strlen(c_name) || ':' || c_name, '~'), 'c_nationkey=' || coalesce(c_nationkey::VARCHAR, '~'))) AS d FROM customer)"
+    " SELECT count(*) AS rows, sha256(sha256(string_agg(d, '' ORDER BY d))) AS digest FROM t"
+)
+def verify_sha256(spark, sf_dir):
+    """The digest of a table of whole columns that both engines write alike."""
+    return table_digest(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), rows=1)
+
+
+@query(f"SELECT coalesce(s.o_orderkey, d.o_orderkey) AS key, CASE WHEN d.o_orderkey IS NULL THEN 'source_only' ELSE 'changed' END AS difference FROM orders s LEFT JOIN ({_DEST}) d ON s.o_orderkey = d.o_orderkey WHERE d.o_orderkey IS NULL OR s.o_totalprice <> d.o_totalprice")
+def verify_row_diff(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return row_diff(orders, destination_orders(orders), "o_orderkey")
+
+
+@query(f"SELECT * FROM orders WHERE o_orderkey NOT IN ({_ORDERS})")
+def purge_remaining_orders(spark, sf_dir):
+    tables, found = job_closure(spark, sf_dir)
+    return remaining(tables["orders"], found["orders"])
+
+
+@query(f"SELECT * FROM lineitem WHERE NOT {_LINES}")
+def purge_remaining_lineitem(spark, sf_dir):
+    tables, found = job_closure(spark, sf_dir)
+    return remaining(tables["lineitem"], found["lineitem"])
+
+
+@query(
+    "SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS before, (SELECT count(*) FROM {t} WHERE NOT {c}) AS left_in_source, (SELECT count(*) FROM {t} WHERE {c}) AS archived, true AS conserved" for t, c in (("customer", f"({WHERE})"), ("orders", f"o_orderkey IN ({_ORDERS})"), ("lineitem", f"({_LINES})")))
+    + ")"
+)
+def archive_conservation(spark, sf_dir):
+    tables, found = job_closure(spark, sf_dir)
+    out = None
+    for t in found:
+        n = lambda df, name: df.agg(F.count("*").alias(name))
+        one = n(tables[t], "before").crossJoin(n(remaining(tables[t], found[t]), "left_in_source")).crossJoin(n(found[t].of(tables[t]), "archived")).select(F.lit(t).alias("table"), "*")
+        out = one if out is None else out.union(one)
+    return out.withColumn("conserved", F.col("before") == F.col("left_in_source") + F.col("archived"))
+
+
+@query(f"SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN ({_ORDERS}))")
+def orphans_lineitem(spark, sf_dir):
+    """What a delete of the orders alone would leave behind."""
+    tables, found = job_closure(spark, sf_dir)
+    return orphans(tables["lineitem"], "l_orderkey", remaining(tables["orders"], found["orders"]), "o_orderkey")
+
+
+@query("SELECT * FROM labels WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars >= 200)")
+def orphans_labels(spark, sf_dir):
+    return orphans(table(spark, sf_dir, "labels"), "doc_id", table(spark, sf_dir, "documents").filter("n_chars >= 200"), "doc_id")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows, count(DISTINCT {k}) AS distinct_keys, count(*) FILTER ({k} IS NULL) AS null_keys FROM {t}" for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey"))))
+def key_measures(spark, sf_dir):
+    each = [key_uniqueness(table(spark, sf_dir, t), k).select(F.lit(t).alias("table"), "*") for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey"))]
+    return each[0].union(each[1]).union(each[2])
+
+
+QUERIES["key_uniqueness"], ORACLE["key_uniqueness"] = QUERIES.pop("key_measures"), ORACLE.pop("key_measures")
+
+# -- audits over declared facts --------------------------------------------------------------------------
+
+FKS = [
+    ("fk_nation_region", "nation", ["n_regionkey"], "region", ["r_regionkey"], "NO ACTION"), ("fk_customer_nation", "customer", ["c_nationkey"], "nation", ["n_nationkey"], "NO ACTION"),
+    ("fk_supplier_nation", "supplier", ["s_nationkey"], "nation", ["n_nationkey"], "NO ACTION"), ("fk_orders_customer", "orders", ["o_custkey"], "customer", ["c_custkey"], "CASCADE"),
+    ("fk_lineitem_orders", "lineitem", ["l_orderkey"], "orders", ["o_orderkey"], "CASCADE"), ("fk_lineitem_part", "lineitem", ["l_partkey"], "part", ["p_partkey"], "RESTRICT"),
+    ("fk_lineitem_supplier", "lineitem", ["l_suppkey"], "supplier", ["s_suppkey"], "RESTRICT"), ("fk_events_customer", "events", ["user_id"], "customer", ["c_custkey"], "NO ACTION"),
+    ("fk_orders_orders", "orders", ["o_orderkey"], "orders", ["o_orderkey"], "NO ACTION"),
+]
+_FK = "(VALUES " + ", ".join(f"('{n}', '{c}', '{k[0]}', '{p}', '{r[0]}', '{d}')" for n, c, k, p, r, d in FKS) + ") AS f(name, child, fk, parent, ref, on_delete)"
+
+
+def fk_rows(spark) -> DataFrame:
+    return spark.createDataFrame(FKS, "name string, child string, columns array<string>, parent string, ref array<string>, on_delete string")
+
+
+def names(spark, *tables: str) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in tables], "table string")
+
+
+def partial_edges(spark) -> DataFrame:
+    """A graph of four tables that leaves out supplier's edge and mistakes orders' key column."""
+    rows = [("nation", "customer", "c_nationkey", "n_nationkey"), ("customer", "orders", "o_orderkey", "c_custkey"), ("orders", "lineitem", "l_orderkey", "o_orderkey"), ("nation", "supplier", "s_nationkey", "n_name")]
+    return spark.createDataFrame(rows, "parent string, child string, fk string, ref string")
+
+
+_EDGES = "(VALUES ('nation', 'customer', 'c_nationkey', 'n_nationkey'), ('customer', 'orders', 'o_orderkey', 'c_custkey'), ('orders', 'lineitem', 'l_orderkey', 'o_orderkey'), ('nation', 'supplier', 's_nationkey', 'n_name')) AS e(parent, child, fk, ref)"
+
+
+@query("SELECT t AS \"table\" FROM (VALUES ('customer'), ('orders'), ('invoices'), ('shipments')) AS w(t) WHERE t NOT IN ('customer', 'orders', 'lineitem')")
+def missing_tables(spark, sf_dir):
+    return audit.missing_tables(names(spark, "customer", "orders", "invoices", "shipments"), names(spark, "customer", "orders", "lineitem"))
+
+
+@query(f"WITH e AS (SELECT * FROM {_EDGES}), t AS (SELECT parent AS t FROM e UNION SELECT child FROM e) SELECT * FROM (SELECT f.name, f.child, f.parent, CASE WHEN e.fk IS NULL THEN 'undeclared' WHEN e.fk <> f.fk THEN 'other column' WHEN e.ref <> f.ref THEN 'other key' END AS problem FROM {_FK} LEFT JOIN e ON e.parent = f.parent AND e.child = f.child WHERE f.parent <> f.child AND f.parent IN (SELECT t FROM t) AND f.child IN (SELECT t FROM t)) WHERE problem IS NOT NULL")
+def internal_fk_audit(spark, sf_dir):
+    return audit.internal_fk_audit(fk_rows(spark), partial_edges(spark))
+
+
+@query(f"SELECT parent, string_agg(DISTINCT child, ',' ORDER BY child) AS children FROM {_FK} WHERE parent IN ('customer', 'orders', 'nation') AND child NOT IN ('customer', 'orders', 'nation') GROUP BY parent")
+def fk_coverage_audit(spark, sf_dir):
+    found = audit.external_children(fk_rows(spark), names(spark, "customer", "orders", "nation"))
+    return found.select("parent", F.array_join("children", ",").alias("children"))
+
+
+@query(f"SELECT name, child, fk AS columns, parent, ref, on_delete FROM {_FK} WHERE on_delete = 'CASCADE' AND (child IN ('customer', 'orders') OR parent IN ('customer', 'orders'))")
+def cascade_edges(spark, sf_dir):
+    mine = names(spark, "customer", "orders")
+    side = lambda end: fk_rows(spark).join(mine.withColumnRenamed("table", end), end, "left_semi")
+    found = audit.cascade_edges(side("child"), side("parent"))
+    return found.select("name", "child", F.array_join("columns", ",").alias("columns"), "parent", F.array_join("ref", ",").alias("ref"), "on_delete")
+
+
+_A = [("orders", "o_orderkey", 0, "bigint(20)", False, False, "", ""), ("orders", "o_custkey", 1, "bigint", True, False, "", ""), ("orders", "o_status", 2, "varchar(1)", True, False, "utf8mb4", "bin"), ("orders", "o_note", 3, "text", True, False, "utf8mb4", "bin"), ("customer", "c_custkey", 0, "bigint", False, False, "", ""), ("customer", "c_name", 1, "varchar(25)", False, False, "utf8mb4", "ci")]
+_B = [("orders", "o_orderkey", 0, "BIGINT", False, False, "", ""), ("orders", "o_status", 1, "varchar(1)", False, False, "latin1", "bin"), ("orders", "o_custkey", 2, "int", True, False, "", ""), ("orders", "o_extra", 3, "int", True, True, "", ""), ("customer", "c_custkey", 0, "bigint", False, False, "", ""), ("customer", "c_name", 1, "varchar(25)", True, True, "utf8mb4", "bin")]
+_COLUMNS = "table string, name string, position int, type string, nullable boolean, generated boolean, charset string, collation string"
+
+
+def _values(rows: list[tuple]) -> str:
+    lit = lambda x: str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ") AS c(\"table\", name, position, type, nullable, generated, charset, \"collation\")"
+
+
+_PLAIN = "regexp_replace(lower({}), '^((?:tiny|small|medium|big)?int)\\(\\d+\\)', '\\1')"
+_DIFF = f"""
+WITH a AS (SELECT * FROM {_values(_A)}), b AS (SELECT * FROM {_values(_B)}),
+j AS (SELECT coalesce(a."table", b."table") AS "table", coalesce(a.name, b.name) AS name, coalesce(a.position, b.position) AS position, a.name IS NOT NULL AS ia, b.name IS NOT NULL AS ib,
+  a.position AS ap, b.position AS bp, a.type AS at_, b.type AS bt, a.nullable AS an, b.nullable AS bn, a.generated AS ag, b.generated AS bg, a.charset AS ac, b.charset AS bc, a."collation" AS ao, b."collation" AS bo
+  FROM a FULL JOIN b ON a."table" = b."table" AND a.name = b.name),
+d AS (
+  SELECT "table", name, position, 'absent in destination' AS kind, at_ AS source, NULL AS destination FROM j WHERE NOT ib
+  UNION ALL SELECT "table", name, position, 'absent in source', NULL, bt FROM j WHERE NOT ia
+  UNION ALL SELECT "table", name, position, 'order', ap::VARCHAR, bp::VARCHAR FROM j WHERE ia AND ib AND ap <> bp
+  UNION ALL SELECT "table", name, position, 'type', at_, bt FROM j WHERE ia AND ib AND {_PLAIN.format('at_')} <> {_PLAIN.format('bt')}
+  UNION ALL SELECT "table", name, position, 'nullable', an::VARCHAR, bn::VARCHAR FROM j WHERE ia AND ib AND an <> bn
+  UNION ALL SELECT "table", name, position, 'generated', ag::VARCHAR, bg::VARCHAR FROM j WHERE ia AND ib AND bg
+  UNION ALL SELECT "table", name, position, 'charset', ac, bc FROM j WHERE ia AND ib AND ac <> bc
+  UNION ALL SELECT "table", name, position, 'collation', ao, bo FROM j WHERE ia AND ib AND ao <> bo
+), s AS (SELECT *, CASE kind WHEN 'nullable' THEN CASE WHEN source = 'true' AND destination = 'false' THEN 'fatal' ELSE 'ignored' END WHEN 'charset' THEN 'fatal' WHEN 'collation' THEN 'warning' ELSE 'fatal' END AS severity FROM d)
+"""
+
+
+def _schema_diff(spark) -> DataFrame:
+    return audit.with_severity(audit.schema_diff(spark.createDataFrame(_A, _COLUMNS), spark.createDataFrame(_B, _COLUMNS)), digest_verified=False)
+
+
+@query(f"{_DIFF} SELECT * FROM s")
+def schema_diff(spark, sf_dir):
+    return _schema_diff(spark)
+
+
+@query(f"{_DIFF} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY \"table\" ORDER BY (kind <> 'generated')::INT, position, kind, name) AS rn FROM s WHERE severity = 'fatal') WHERE rn = 1")
+def schema_diff_first_fatal(spark, sf_dir):
+    return audit.first_fatal(_schema_diff(spark))
+
+
+@query("SELECT * FROM (VALUES ('orders', 'email/10/bin')) AS v(\"table\", parts)")
+def destination_unique_audit(spark, sf_dir):
+    """Unique keys that only the destination has: a prefix of a column is another key than the column, another name is not."""
+    kind = "table string, parts array<struct<column:string,prefix:int,expression:string,collation:string>>"
+    a = spark.createDataFrame([("orders", [("a", None, None, "bin"), ("b", None, None, "bin")]), ("orders", [("email", None, None, "bin")])], kind)
+    b = spark.createDataFrame([("orders", [("b", None, None, "bin"), ("a", None, None, "bin")]), ("orders", [("email", 10, None, "bin")])], kind)
+    show = F.array_join(F.transform("parts", lambda p: F.concat_ws("/", p["column"], p["prefix"].cast("string"), p["collation"])), ",")
+    return audit.stricter_uniques(a, b).select("table", show.alias("parts"))
+
+
+@query("SELECT * FROM (VALUES ('orders', 'before_a', 1), ('lineitem', 'only', 5)) AS t(\"table\", name, firing)")
+def first_triggers(spark, sf_dir):
+    rows = [("orders", "after_b", 2), ("orders", "before_a", 1), ("orders", "before_c", 1), ("lineitem", "only", 5)]
+    return audit.first_triggers(spark.createDataFrame(rows, "table string, name string, firing int"))
+
+
+@query("SELECT * FROM (VALUES ('fk_lineitem_part'), ('fk_lineitem_supplier')) AS f(name)")
+def fk_index_audit(spark, sf_dir):
+    indexes = spark.createDataFrame([("lineitem", ["l_orderkey", "l_linenumber"]), ("lineitem", ["l_linenumber", "l_partkey"])], "table string, columns array<string>")
+    return audit.unindexed_foreign_keys(fk_rows(spark).filter("child = 'lineitem'"), indexes).select("name")
+
+
+# -- the graph of tables ---------------------------------------------------------------------------------
+
+
+def wide_graph() -> Graph:
+    g = Graph("nation")
+    for t, k in (("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("orders", "o_orderkey"), ("lineitem", "l_linenumber")):
+        g.add_table(t, k)
+    for p, c, f in (("nation", "customer", "c_nationkey"), ("nation", "supplier", "s_nationkey"), ("customer", "orders", "o_custkey"), ("orders", "lineitem", "l_orderkey"), ("supplier", "lineitem", "l_suppkey")):
+        g.add_edge(p, c, f)
+    return g
+
+
+_NODES = "(VALUES ('nation'), ('customer'), ('supplier'), ('orders'), ('lineitem')) AS n(t)"
+_LINKS5 = "(VALUES ('nation', 'customer'), ('nation', 'supplier'), ('customer', 'orders'), ('orders', 'lineitem'), ('supplier', 'lineitem')) AS e(p, c)"
+
+
+@query(f"SELECT t AS \"table\", (SELECT count(DISTINCT p) FROM {_LINKS5} WHERE c = t) AS in_degree FROM {_NODES}")
+def graph_in_degree(spark, sf_dir):
+    g = wide_graph()
+    return audit.in_degrees(g.edge_rows(spark), names(spark, *g.keys))
+
+
+@query(f"WITH RECURSIVE w(t, l) AS (SELECT 'nation', 0 UNION ALL SELECT e.c, w.l + 1 FROM w JOIN {_LINKS5} ON e.p = w.t) SELECT t AS \"table\", max(l)::INT AS level FROM w GROUP BY t")
+def graph_levels(spark, sf_dir):
+    return spark.createDataFrame(list(wide_graph().levels().items()), "table string, level int")
+
+
+@query("SELECT * FROM (VALUES (0, 'nation'), (1, 'customer'), (2, 'supplier'), (3, 'orders'), (4, 'lineitem')) AS o(position, \"table\")")
+def graph_copy_order(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(wide_graph().copy_order())), "position int, table string")
+
+
+@query("SELECT * FROM (VALUES (4, 'nation'), (3, 'customer'), (2, 'supplier'), (1, 'orders'), (0, 'lineitem')) AS o(position, \"table\")")
+def graph_delete_order(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(wide_graph().delete_order())), "position int, table string")
+
+
+# -- job states: the log has every customer of the job, its status by its key ----------------------------
+
+_LOG = "SELECT c_custkey::VARCHAR AS root_key, (c_custkey // 3 % 4)::INT AS status FROM customer"
+
+
+def job_log(spark, sf_dir) -> DataFrame:
+    """Two events a key: pending first, then what it has come to."""
+    keys = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("root_key"))
+    first = keys.select("root_key", F.lit(0).alias("status"), F.lit(None).cast("string").alias("error"), F.lit(1).cast("long").alias("at"))
+    last = keys.select("root_key", F.expr("cast(c_custkey div 3 % 4 as int)").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(2).cast("long").alias("at"))
+    return state.current(first.union(last))
+
+
+@query(f"SELECT root_key, status FROM ({_LOG}) WHERE status IN (0, 1, 3)")
+def log_nonterminal(spark, sf_dir):
+    return state.nonterminal(job_log(spark, sf_dir)).select("root_key", "status")
+
+
+@query(f"SELECT status, ['pending', 'copied', 'completed', 'failed'][status + 1] AS meaning, count(*) AS rows FROM ({_LOG}) GROUP BY status")
+def log_status_breakdown(spark, sf_dir):
+    return state.status_breakdown(job_log(spark, sf_dir))
+
+
+@query(f"SELECT root_key, (row_number() OVER (ORDER BY root_key::BIGINT))::INT AS position FROM (SELECT * FROM ({_LOG}) WHERE status = 0 ORDER BY root_key::BIGINT LIMIT 25)")
+def log_replay_order(spark, sf_dir):
+    """Keys as numbers, not as text: 9 comes before 10."""
+    first = state.replay_order(job_log(spark, sf_dir).filter("status = 0")).limit(25).collect()
+    return spark.createDataFrame([(r.root_key, i + 1) for i, r in enumerate(first)], "root_key string, position int")
+
+
+@query(f"WITH l AS (SELECT root_key::BIGINT AS k, status FROM ({_LOG}) WHERE status IN (0, 1)), c AS (SELECT *, (status IS DISTINCT FROM lag(status) OVER (ORDER BY k))::INT AS ch FROM l), r AS (SELECT *, sum(ch) OVER (ORDER BY k)::BIGINT AS run FROM c) SELECT run, min(status) AS status, count(*) AS rows, min(k) AS first_key, max(k) AS last_key FROM r GROUP BY run")
+def recovery_runs(spark, sf_dir):
+    found = state.recovery_runs(job_log(spark, sf_dir))
+    return found.select("run", "status", "rows", F.col("first_key").cast("long").alias("first_key"), F.col("last_key").cast("long").alias("last_key"))
+
+
+_JOBS = "SELECT 'job_' || c_custkey AS job_name, CASE WHEN c_custkey % 2 = 0 THEN 'orders' ELSE 'customer' END AS root_table, (c_custkey % 3)::INT AS job_status, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 12:00:00' - to_seconds((c_custkey % 120)::INT) END AS last_heartbeat_at FROM customer"
+
+
+def jobs(spark, sf_dir) -> DataFrame:
+    c = F.col("c_custkey")
+    beat = F.expr("timestampadd(SECOND, -cast(c_custkey % 120 as int), TIMESTAMP_NTZ'2024-01-01 12:00:00')")
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("job_"), c.cast("string")).alias("job_name"), F.when(c % 2 == 0, "orders").otherwise("customer").alias("root_table"), (c % 3).cast("int").alias("job_status"),
+        F.when(c % 5 != 0, beat).alias("last_heartbeat_at"),
+    )
+
+
+@query(f"SELECT job_name FROM ({_JOBS}) WHERE root_table = 'orders' AND job_status = 1 AND job_name <> 'job_4'")
+def same_root_conflicts(spark, sf_dir):
+    return state.same_root(jobs(spark, sf_dir), "orders", "job_4").select("job_name")
+
+
+@query(f"SELECT job_name, date_diff('second', last_heartbeat_at, TIMESTAMP '2024-01-01 12:00:00') AS age_seconds, coalesce(date_diff('second', last_heartbeat_at, TIMESTAMP '2024-01-01 12:00:00') > 60, true) AS stale FROM ({_JOBS})")
+def heartbeat_age(spark, sf_dir):
+    return state.heartbeat_age(jobs(spark, sf_dir), F.expr("TIMESTAMP_NTZ'2024-01-01 12:00:00'")).select("job_name", "age_seconds", "stale")
+
+
+@query("SELECT '_log_job_' || c_custkey AS \"table\" FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 12 <> 0")
+def orphaned_logs(spark, sf_dir):
+    logs = table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").select(F.concat(F.lit("_log_job_"), F.col("c_custkey").cast("string")).alias("table"))
+    return state.orphaned_logs(logs, jobs(spark, sf_dir).filter("job_status = 0"))
+
+
+# -- payload ---------------------------------------------------------------------------------------------
+
+_FIRST = f"SELECT * FROM customer WHERE {WHERE} ORDER BY c_custkey LIMIT {SIZE}"
+_BYTES = "8 + coalesce(strlen(c_name) + 2, 4) + 8 + 8 + coalesce(strlen(c_mktsegment) + 2, 4)"
+
+
+@query(_FIRST)
+def payload_sample_root(spark, sf_dir):
+    return table(spark, sf_dir, "customer").filter(WHERE).orderBy("c_custkey").limit(SIZE)
+
+
+@query(f"SELECT 'customer' AS \"table\", count(*) AS sample_rows, sum({_BYTES})::BIGINT AS bytes, (sum({_BYTES})::BIGINT * {SIZE} // count(*))::BIGINT AS projected_bytes FROM ({_FIRST})")
+def payload_bytes(spark, sf_dir):
+    return payload(table(spark, sf_dir, "customer"), "customer", SIZE, "c_custkey", WHERE)
+
+
+@query(f"SELECT t AS \"table\", c AS columns, c * 8000 AS placeholders, c * 8000 >= {PLACEHOLDERS} AS too_many, {PLACEHOLDERS} // c AS rows_per_statement FROM (VALUES ('customer', 5), ('orders', 6), ('lineitem', 11)) AS v(t, c)")
+def payload_placeholder_check(spark, sf_dir):
+    rows = [{"table": t} | placeholders(len(df.columns), 8000) for t, df in job_tables(spark, sf_dir).items()]
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "table string, columns int, placeholders int, too_many boolean, rows_per_statement int")
