@@ -60,6 +60,14 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def bounded_sample(rows: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
+    """At most limit rows, the first by a hash of their key. Rows are thinned out by the hash beforehand, so that tasks send the driver about limit rows in all, however many there are."""
+    n, parts = rows.count(), 1 << 24
+    if n > 2 * limit:
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) < int(1.2 * parts * limit / n) + 1)
+    return rows.orderBy(F.pmod(F.xxhash64(key), F.lit(parts)), key).limit(limit)
+
+
 def text_chunks(column: pa.ChunkedArray | pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Yield (UTF-8 bytes, document offsets) of runs of rows, each of about limit bytes or of one longer text. Null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import bound_batches, is_held_out, stage, text_chunks, word_hashes
+from kinfold.llm.common import bound_batches, bounded_sample, is_held_out, stage, text_chunks, word_hashes
 
 #: Bound of the labelled rows that a fit uses.
 SAMPLE_ROWS = 20_000
@@ -188,7 +188,9 @@ def fit(described: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     the lowest.
     """
     known = labels.where("doc_id is not null and quality is not null").where(~is_held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = described.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "stats").limit(sample_rows).select("quality", "stats").toPandas()
+    sample = bounded_sample(known, sample_rows)
+    # at most sample_rows ids: a bounded broadcast
+    rows = described.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "stats"]).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["stats"].tolist(), np.float32).reshape(-1, len(NAMES))
     return train(x, (rows["quality"].to_numpy() > 0).astype(float))
 

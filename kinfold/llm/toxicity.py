@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import bound_batches, is_held_out, stage, text_chunks
+from kinfold.llm.common import bound_batches, bounded_sample, is_held_out, stage, text_chunks
 
 HASH_BITS = 18
 SIZES = (3, 4, 5, 6)
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """
     bound_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = bounded_sample(known, sample_rows)
     # at most sample_rows ids: a bounded broadcast, and the only texts that move
     texts = stage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "labelled")
 
