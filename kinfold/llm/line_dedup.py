@@ -29,50 +29,48 @@ def _lines(text: Column) -> Column:
 
 
 def _nth() -> Column:
-    return F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.lit(1)))
+    """Tells rows with the same id and text apart."""
+    return F.row_number().over(Window.partitionBy("h").orderBy("doc_id"))
 
 
-def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    return running_sums(df, [], order, {"n": F.lit(1)}, name)
+#: A line that occurs nowhere else sorts after all others, by its position.
+_UNIQUE = 1 << 62
 
 
-def suffix_ranks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """lines (pos, end, key...) -> ((pos, ranks), (pos, end, rank)) of all suffixes whose first line occurs again.
+def suffix_ranks(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """lines (pos, end, h1, h2, ...) -> ((pos, ranks), (pos, end, rank), lines) of all suffixes whose first line occurs again.
 
     ranks[k] is the rank by the first 2**k lines; a shorter array stays at its last rank.
     """
-    keys = lines.groupBy("h1", "h2").agg(F.count("*").alias("size"))
-    ranked = running_sums(keys, [], [F.col("h1"), F.col("h2")], {"upto": F.col("size")}, "names").select("h1", "h2", "size", (F.col("upto") - F.col("size")).alias("rank"))
-    current = stage(lines.join(ranked, ["h1", "h2"]).select("pos", "end", "rank", "size"), "ranks")
-    alone = current.where("size = 1").select("pos", "rank")
-    active = current.where("size > 1").select("pos", "end", "rank")
+    keys = lines.groupBy("h1", "h2").agg(F.count("*").alias("size")).where("size > 1")
+    ranked = running_sums(keys, [], [F.col("h1"), F.col("h2")], {"upto": F.col("size")}, "names").select("h1", "h2", (F.col("upto") - F.col("size")).alias("rank"))
+    repeated = stage(lines.join(ranked, ["h1", "h2"]).drop("h1", "h2"), "ranks")
+    active = repeated.select("pos", "end", "rank")
     rounds, final, k = [active.select("pos", F.lit(0).alias("k"), "rank")], [], 0
     while not active.isEmpty():
-        known = active.select("pos", "rank").unionByName(alone)
         step = 1 << k
+        known = active.select("pos", "rank")
+        for x in final:
+            known = known.unionByName(x.select("pos", "rank"))
         ahead = known.select((F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
         # beyond the end of its document a suffix has nothing, which comes first
-        pairs = active.join(ahead, "pos", "left").withColumn("next", F.when(F.col("pos") + step < F.col("end"), F.col("next")).otherwise(F.lit(-1)))
-        pairs = stage(pairs, "pairs")
+        after = F.when(F.col("pos") + step >= F.col("end"), -1).otherwise(F.coalesce("next", F.lit(_UNIQUE) + F.col("pos") + step))
+        pairs = stage(active.join(ahead, "pos", "left").withColumn("next", after), "pairs")
         counts = pairs.groupBy("rank", "next").agg(F.count("*").alias("size"))
         names = running_sums(counts, ["rank"], [F.col("next")], {"upto": F.col("size")}, "names").select("rank", "next", "size", (F.col("rank") + F.col("upto") - F.col("size")).alias("new"))
         refined = stage(pairs.join(names, ["rank", "next"]).select("pos", "end", F.col("new").alias("rank"), "size", (F.col("next") < 0).alias("ended")), "ranks")
         k += 1
         rounds.append(refined.select("pos", F.lit(k).alias("k"), "rank"))
-        settled = refined.where("size = 1 or ended").select("pos", "end", "rank")
-        final.append(settled)
-        alone = alone.unionByName(settled.select("pos", "rank"))
+        final.append(refined.where("size = 1 or ended").select("pos", "end", "rank"))
         active = refined.where("size > 1 and not ended").select("pos", "end", "rank")
-        if k % 4 == 0:
-            alone = stage(alone, "settled")
-    table, last = rounds[0], current.where("false").select("pos", "end", "rank")
+    table, last = rounds[0], repeated.where("false").select("pos", "end", "rank")
     for x in rounds[1:]:
         table = table.unionByName(x)
     for x in final:
         last = last.unionByName(x)
     # as many entries as there were rounds
     table = table.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "rank"))), lambda x: x["rank"]).alias("ranks"))
-    return stage(table, "levels"), stage(last, "suffixes")
+    return stage(table, "levels"), last, repeated
 
 
 def common_prefixes(pairs: DataFrame, levels: DataFrame, name: str) -> DataFrame:
@@ -107,18 +105,19 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFram
     Runs of one document do not touch each other; first and last are line numbers from 0.
     """
     line = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.hash(x, F.lit(7)).alias("h2"), F.regexp_count(x, F.lit(WORD)).alias("words"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.transform(_lines(F.col("text")), line).alias("lines")).withColumn("n_lines", F.size("lines").cast("long")).withColumn("words", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["words"]))
-    rows = stage(rows, "line-ids").withColumn("nth", _nth())
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), F.transform(_lines(F.col("text")), line).alias("lines")).withColumn("n_lines", F.size("lines").cast("long")).withColumn("words", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["words"]))
+    rows = stage(rows, "line-ids")
     order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("nth")]
-    axis = stage(running_sums(rows, [], order, {"end": F.col("n_lines"), "words_end": F.col("words")}, "axis").withColumn("begin", F.col("end") - F.col("n_lines")), "axis")
-    each = axis.select("begin", "end", (F.col("words_end") - F.col("words")).alias("before"), F.posexplode("lines").alias("i", "x"))
-    each = each.select((F.col("begin") + F.col("i")).alias("pos"), "begin", "end", "before", "x.*")
-    lines = stage(each, "lines")
-    levels, last = suffix_ranks(lines)
-    # words before each position, from those before its document
-    so_far = F.coalesce(F.sum("words").over(Window.partitionBy("begin").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    words = stage(lines.select("pos", (F.col("before") + so_far).alias("w"), "begin", "words"), "words")
-    array = stage(_numbered(last, [F.col("rank"), F.col("pos")], "array"), "array")
+    narrow = rows.drop("lines").withColumn("nth", _nth())
+    axis = running_sums(narrow, [], order, {"end": F.col("n_lines"), "words_end": F.col("words")}, "axis").withColumn("begin", F.col("end") - F.col("n_lines"))
+    axis = stage(axis.withColumn("before", F.col("words_end") - F.col("words")).drop("words", "words_end"), "axis")
+    each = rows.select("doc_id", "h", "lines").withColumn("nth", _nth()).drop("doc_id").join(axis.select("h", "nth", "begin", "end", "before"), ["h", "nth"])
+    each = each.select("h", "nth", "begin", "end", "before", F.posexplode("lines").alias("i", "x")).select("*", "x.*").drop("x")
+    # words before each line, from those before its document; dealt out as the join was
+    so_far = F.sum("words").over(Window.partitionBy("h", "nth").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    lines = stage(each.withColumn("w", F.col("before") + so_far - F.col("words")).select((F.col("begin") + F.col("i")).alias("pos"), "begin", "end", "h1", "h2", "w", "words"), "lines")
+    levels, last, words = suffix_ranks(lines)
+    array = stage(running_sums(last, [], [F.col("rank"), F.col("pos")], {"n": F.lit(1)}, "array"), "array")
     follow = array.select((F.col("n") + 1).alias("n"), F.col("pos").alias("a"), F.col("end").alias("a_end"))
     pairs = array.select("n", F.col("pos").alias("b"), F.col("end").alias("b_end")).join(follow, "n").select("a", "a_end", "b", "b_end")
     lcp = common_prefixes(pairs, levels, "lcp")
@@ -153,14 +152,16 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         if n in docs.columns:
             raise ValueError(f"a column {n} is in the way")
     where, runs = repeated_runs(docs, min_words)
+    # documents with cuts grow with the input: one plan at every size
     cuts = runs.groupBy("begin").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_cuts"), F.sum(F.col("last") - F.col("first") + 1).alias("n_removed"))
-    found = where.join(cuts, "begin", "left").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("nth").alias("_nth"), "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "_cuts")
-    rows = docs.select("*", F.xxhash64("text").alias("h")).withColumn("nth", _nth())
-    both = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["h"] == found["_h"]) & (rows["nth"] == found["_nth"]))
+    found = where.join(cuts, "begin").select("h", "nth", "n_removed", "_cuts")
+    rows = docs.select("*", F.xxhash64("doc_id", "text").alias("h")).withColumn("nth", _nth())
+    both = rows.join(found.hint("merge"), ["h", "nth"], "left")
     # between two cuts the lines stay: slices, not a test of each line against each cut
     lines = _lines(F.col("text"))
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda c: c["last"] + 1))
-    ends = F.concat(F.transform("_cuts", lambda c: c["first"]), F.array(F.col("n_lines")))
+    ends = F.concat(F.transform("_cuts", lambda c: c["first"]), F.array(F.size(lines).cast("long")))
     kept = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(lines, (s + 1).cast("int"), (e - s).cast("int"))))
     text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return both.withColumn("text", text).select(*docs.columns, "n_lines", "n_removed")
+    counts = {"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce("n_removed", F.lit(0)).cast("long")}
+    return both.withColumns(counts).withColumn("text", text).select(*docs.columns, "n_lines", "n_removed")
