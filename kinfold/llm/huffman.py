@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import remove, stage
+from kinfold.llm.common import remove, ship, stage
 
 #: Ids of a block, unless one document has more, and ids between two checkpoints.
 BLOCK_IDS, LANE = 1 << 17, 128
@@ -213,6 +213,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     their ids. An empty table writes no block. Other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
     cuts = sorted({int(c) for c in cuts or []})
@@ -277,6 +278,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
 
 def read(spark: SparkSession, path: str, digest: bool = True) -> DataFrame:
     """Decode the blocks: doc_id, start, n_tokens and either ids_crc32 or, without digest, the ids."""
+    ship(spark)
     lengths = spark.read.parquet(f"{path}/code").toPandas()
     bits = np.zeros(int(lengths["id"].max()) + 1 if len(lengths) else 1, np.uint8)
     bits[lengths["id"].to_numpy(np.int64)] = lengths["bits"]

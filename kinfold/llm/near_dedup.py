@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import bound_batches, mix, shingle_hashes, stage, text_chunks, word_hashes
+from kinfold.llm.common import mix, python_ready, shingle_hashes, stage, text_chunks, word_hashes
 from kinfold.llm.components import components
 from kinfold.llm.running import running_sums
 
@@ -132,7 +132,7 @@ def near_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     as they are given; rows that share a doc_id but not the text are grouped each by its own text.
     An empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     num, den = threshold
     rows, bands = banding(num / den)
     need = _agreement(num / den, rows * bands)

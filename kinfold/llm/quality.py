@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import bound_batches, bounded_sample, is_held_out, stage, text_chunks, word_hashes
+from kinfold.llm.common import bounded_sample, is_held_out, python_ready, stage, text_chunks, word_hashes
 
 #: Bound of the labelled rows that a fit uses.
 SAMPLE_ROWS = 20_000
@@ -197,7 +197,7 @@ def fit(described: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and score of every row of docs: 0 to 1, higher where label 1 is likelier. Null texts score as empty ones do."""
-    bound_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     described = stage(describe(docs), "statistics")
     held = docs.sparkSession.sparkContext.broadcast(fit(described, labels))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import bound_batches, stage
+from kinfold.llm.common import python_ready, stage
 
 #: Vectors in a block, in a slice, and queries in a group.
 BLOCK, SLICE, GROUP = 256, 16_384, 2048
@@ -102,7 +102,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     below; with that floor the other slices mostly send nothing.
     """
     spark = vectors.sparkSession
-    bound_batches(spark)
+    python_ready(spark)
     strongest = lambda n: F.element_at(F.array_sort(F.transform("v", lambda x, i: F.struct((-F.abs(x)).alias("a"), i.alias("i"), F.signum(x.cast("double")).alias("s")))), n)
     n, m, width = vectors.count(), queries.count(), vectors.select("v").union(queries.select("v")).agg(F.max(F.size("v"))).first()[0] or 1
     slices, groups = max(1, -(-n // SLICE)), max(1, -(-m // GROUP))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import bound_batches, bounded_sample, is_held_out, stage, text_chunks
+from kinfold.llm.common import bounded_sample, is_held_out, python_ready, stage, text_chunks
 
 HASH_BITS = 18
 SIZES = (3, 4, 5, 6)
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     labels: doc_id, toxic. Rows with a null id or label are ignored; a doc_id with several labels takes
     the highest. Without both labels in the sample the score is their share, or 0.5.
     """
-    bound_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = bounded_sample(known, sample_rows)
     # at most sample_rows ids: a bounded broadcast, and the only texts that move
@@ -144,7 +144,7 @@ def _scores(column: pa.Array, model: Model) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row: 0 to 1, higher where label 1 is likelier. Null texts score as empty ones do."""
-    bound_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all their columns, that score below the threshold."""
-    bound_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
