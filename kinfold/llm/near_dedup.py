@@ -157,7 +157,8 @@ def near_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
         .select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"), F.col("sig").alias("a"), F.col("lead.sig").alias("b"))
     )
     stars = stage(_similar(stars, need).distinct(), "stars")
-    wanted = members.select("node").distinct()
+    # candidates grow with the input: one plan at every size, whatever a broadcast threshold may say
+    wanted = members.select("node").distinct().hint("merge")
     texts = docs.select(F.col("doc_id").alias("node"), "text")
     sets = stage(full_sets(texts.join(wanted, "node", "left_semi"), shingle), "sets")
     links = stage(_confirm(stars, sets, num, den), "links")
