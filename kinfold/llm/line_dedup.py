@@ -33,6 +33,12 @@ def _nth() -> Column:
     return F.row_number().over(Window.partitionBy("h").orderBy("doc_id"))
 
 
+def _by_row(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Join on h and nth. As an equation of h alone, beside a condition, it takes the rows as the window of nth has dealt them out."""
+    right = found.withColumnsRenamed({"h": "_h", "nth": "_n"})
+    return rows.join(right, (rows["h"] == right["_h"]) & (rows["nth"] - right["_n"] == 0), how).drop("_h", "_n")
+
+
 #: A line that occurs nowhere else sorts after all others, by its position.
 _UNIQUE = 1 << 62
 
@@ -111,7 +117,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFram
     narrow = rows.drop("lines").withColumn("nth", _nth())
     axis = running_sums(narrow, [], order, {"end": F.col("n_lines"), "words_end": F.col("words")}, "axis").withColumn("begin", F.col("end") - F.col("n_lines"))
     axis = stage(axis.withColumn("before", F.col("words_end") - F.col("words")).drop("words", "words_end"), "axis")
-    each = rows.select("doc_id", "h", "lines").withColumn("nth", _nth()).drop("doc_id").join(axis.select("h", "nth", "begin", "end", "before"), ["h", "nth"])
+    each = rows.select("doc_id", "h", "lines").withColumn("nth", _nth()).drop("doc_id")
+    each = _by_row(each, axis.select("h", "nth", "begin", "end", "before"), "inner")
     each = each.select("h", "nth", "begin", "end", "before", F.posexplode("lines").alias("i", "x")).select("*", "x.*").drop("x")
     # words before each line, from those before its document; dealt out as the join was
     so_far = F.sum("words").over(Window.partitionBy("h", "nth").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
@@ -156,7 +163,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cuts = runs.groupBy("begin").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_cuts"), F.sum(F.col("last") - F.col("first") + 1).alias("n_removed"))
     found = where.join(cuts, "begin").select("h", "nth", "n_removed", "_cuts")
     rows = docs.select("*", F.xxhash64("doc_id", "text").alias("h")).withColumn("nth", _nth())
-    both = rows.join(found.hint("merge"), ["h", "nth"], "left")
+    both = _by_row(rows, found.hint("merge"), "left")
     # between two cuts the lines stay: slices, not a test of each line against each cut
     lines = _lines(F.col("text"))
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda c: c["last"] + 1))

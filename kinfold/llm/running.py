@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +13,8 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict
 
     Rows are dealt out by ranges of (keys, order), so that a key of any size is spread over many tasks,
     and each remembers its range. Sums within a range are windows of bounded size; sums of the earlier
-    ranges of a key come from a table with one row for each key and range. Null keys are keys. Rows that
-    order does not tell apart take an arbitrary order.
+    ranges of a key come from a table with one row for each key and range. Rows with a null key are left
+    out. Rows that order does not tell apart take an arbitrary order.
     """
     for n in ("_range", "_before"):
         assert n not in df.columns
@@ -24,8 +22,8 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict
     names = list(sums)
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(sums[n]).alias(f"_t_{n}") for n in names])
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in names]).alias("b")
+    before = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in names])
     within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumns({n: F.sum(sums[n]).over(within) for n in names}).alias("a")
-    on = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], F.col("a._range") == F.col("b._range"))
-    return local.join(before, on).select(*[F.col(f"a.{c}") for c in df.columns], *[(F.col(f"a.{n}") + F.col(f"b._b_{n}")).alias(n) for n in names])
+    local = ranged.withColumns({n: F.sum(sums[n]).over(within) for n in names})
+    # the windows are dealt out by the same keys as the join: the rows move once
+    return local.join(before, [*keys, "_range"]).select(*df.columns, *[(F.col(n) + F.col(f"_b_{n}")).alias(n) for n in names])
