@@ -81,10 +81,7 @@ def test_archive(world):
     assert t.checkpoint is None
 
 
-STEPS = ["log pending", "discover", "copy", "verify", "mark copied", "delete", "complete"]
-
-
-@pytest.mark.parametrize("step", STEPS)
+@pytest.mark.parametrize("step", ["log pending", "copy", "mark copied", "delete", "complete"])
 def test_archive_resumes_after_a_break(world, step):
     src, dst, engine = world
     e, calls = engine(), []
@@ -103,7 +100,7 @@ def test_archive_resumes_after_a_break(world, step):
     assert s.replayed == (0 if step == "log pending" else 2)
 
 
-@pytest.mark.parametrize("step", STEPS[:5])
+@pytest.mark.parametrize("step", ["copy", "mark copied"])
 def test_copy_only_resumes_in_ascending_runs(world, step):
     src, dst, engine = world
     e, calls = engine(), []
