@@ -7,6 +7,7 @@ import os
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from kinfold import graph as graphs
 from kinfold.config import Config, validate
 from kinfold.control import FileLock, HealthGate, Keepalive, LockError, Stop, may_force, wait_for_sentinel
-from kinfold.operators.closure import Keys, closure, root_batch
+from kinfold.operators.closure import Keys, closure, root_batch, table_counts
 from kinfold.operators.copy import insert_ignore, needs_strict, strict_insert
 from kinfold.operators.estimate import batch_count, estimate, payload, placeholders
 from kinfold.operators.verify import verify
@@ -291,8 +292,10 @@ class _Run:
         if mode != "promote":
             e.step("discover")
             found = {t: Keys(k.column, k.rows.persist()) for t, k in closure(g, source, roots).items()}
-            for t, k in found.items():
-                self.stats.count("discovered", t, k.rows.count())
+            # one row for each table
+            sizes = {r.table: r.rows for r in table_counts(g, source, found).collect()}
+            for t, n in sizes.items():
+                self.stats.count("discovered", t, n)
         if mode in ("full", "copy"):
             e.step("copy")
             for t in g.copy_order():
@@ -302,13 +305,14 @@ class _Run:
                     rows = strict_insert(t, incoming, existing, [key, *self.unique[t]])
                 else:
                     rows = insert_ignore(incoming, existing, key, self.unique[t])
-                rows = rows.persist()
-                self.stats.count("copied", t, rows.count())
-                changes[t] = Change(add=rows)
+                changes[t] = Change(add=rows.persist())
             with self._committing():
                 e.destination.commit(changes)
+            added = reduce(DataFrame.union, [c.add.agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), "n") for t, c in changes.items()])
+            for r in added.collect():
+                self.stats.count("copied", r.t, r.n)
             e.step("verify")
-            self.stats.verified_tables += len(verify(self.method, found, source, {t: e.destination.table(t) for t in g.keys}))
+            self.stats.verified_tables += len(verify(self.method, found, source, {t: e.destination.table(t) for t in g.keys}, sizes))
             e.step("mark copied")
             with self._committing():
                 self.tracker.mark(roots, COPIED)
@@ -318,9 +322,8 @@ class _Run:
                 e.health.wait(e.stop)
             gone = {}
             for t in g.delete_order():
-                rows = found[t].of(source[t]).count() if g.keys[t] is None else found[t].rows.count()
-                self.stats.count("deleted", t, rows)
-                if rows:
+                self.stats.count("deleted", t, sizes[t])
+                if sizes[t]:
                     gone[t] = Change(delete=found[t].rows)
             if gone:
                 # all tables at once: a part of the delete cannot be seen
