@@ -10,7 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but the six ASCII white-space bytes.
@@ -87,6 +87,15 @@ def bounded_sample(rows: DataFrame, limit: int, key: str = "doc_id") -> DataFram
     return rows.orderBy(F.pmod(F.xxhash64(key), F.lit(parts)), key).limit(limit)
 
 
+def word_count(text: Column) -> Column:
+    """How many words a text has. Where single spaces alone part them, as in most, their number tells; else the words are matched."""
+    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" ")) | (text == "")
+    for gap in ("  ", "\t", "\n", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(text, F.lit(gap))
+    spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(odd, F.regexp_count(text, F.lit(WORD))).otherwise(spaces + 1)
+
+
 def text_chunks(column: pa.ChunkedArray | pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Yield (UTF-8 bytes, document offsets) of runs of rows, each of about limit bytes or of one longer text. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -172,5 +181,5 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.nda
         out[into] = mix(total)
     for d in np.flatnonzero((count > 0) & (count < size)):
         w = words[at[d] : at[d + 1]]
-        out[begin[d]] = mix(np.array([(w * _MULT[: len(w)]).sum() + _MULT[40 + len(w)]], np.uint64))[0]
+        out[begin[d]] = mix(np.append(w * _MULT[: len(w)], _MULT[40 + len(w)]).sum(keepdims=True))[0]
     return out, begin

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WORD, stage
+from kinfold.llm.common import stage, word_count
 from kinfold.llm.running import running_sums
 
 MIN_WORDS = 50
@@ -110,7 +110,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFram
 
     Runs of one document do not touch each other; first and last are line numbers from 0.
     """
-    line = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.hash(x, F.lit(7)).alias("h2"), F.regexp_count(x, F.lit(WORD)).alias("words"))
+    line = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.hash(x, F.lit(7)).alias("h2"), word_count(x).alias("words"))
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), F.transform(_lines(F.col("text")), line).alias("lines")).withColumn("n_lines", F.size("lines").cast("long")).withColumn("words", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["words"]))
     rows = stage(rows, "line-ids")
     order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("nth")]
