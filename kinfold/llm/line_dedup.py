@@ -9,8 +9,11 @@ narrow rows.
 
 The ranks of all rounds also give the longest common prefix of any two suffixes, by descending powers of
 two. Suffixes that follow each other in the suffix array with a common prefix of at least min_words words
-form an interval: the occurrences of one run. The first occurrence in the order of positions stays. Every
-later one is compared with the first, and the lines as far as both agree are deleted.
+form an interval: the occurrences of one run. The first occurrence in the order of positions stays. Of
+every later one the lines of its longest match with any earlier position are deleted. That match is the one
+with the nearest smaller position before it or after it in the suffix array. No match is longer than that
+with a neighbour, so where an earlier neighbour has the longest, it is found; the others search a tree of
+block minima.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from kinfold.llm.common import stage, word_count
 from kinfold.llm.running import running_sums
 
 MIN_WORDS = 50
+#: Suffixes, or blocks of them, in a block of the tree of minima.
+FAN_OUT = 64
 
 
 def _lines(text: Column) -> Column:
@@ -105,6 +110,61 @@ def common_prefixes(pairs: DataFrame, levels: DataFrame, name: str) -> DataFrame
             return done.where("lcp > 0")
 
 
+def earlier_neighbours(inside: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (n, pos) -> (pos, other): the nearest rows of inside (n, pos) before n and after it that have a smaller pos.
+
+    Rows are searched by blocks of FAN_OUT, then blocks of blocks by their smallest pos, upwards until one
+    block has a smaller pos and down again in it. What is joined has at most FAN_OUT entries a row.
+    """
+    nodes, level = [], inside.select("n", "pos")
+    while True:
+        block = level.groupBy(F.floor(F.col("n") / FAN_OUT).alias("block")).agg(F.collect_list(F.struct("n", "pos")).alias("rows"))
+        nodes.append(stage(block, "blocks"))
+        level = nodes[-1].select(F.col("block").alias("n"), F.array_min(F.transform("rows", lambda x: x["pos"])).alias("pos"))
+        if level.count() <= 1:
+            break
+
+    def search(rows: DataFrame, k: int, looks: Column, key: Column, beyond: Column) -> DataFrame:
+        """rows with best: the nearest entry of the block key on level k with a smaller pos. Rows that do not look meet no block."""
+        keyed = rows.withColumn("block", F.when(looks, key).otherwise(-1 - F.col("pos")))
+        smaller = F.filter("rows", lambda x: (x["pos"] < F.col("pos")) & (beyond | ((x["n"] - F.col("at")) * F.col("side") > 0)))
+        near = F.array_min(F.transform(smaller, lambda x: F.struct((x["n"] * F.col("side")).alias("by"), x["n"].alias("n"), x["pos"].alias("pos"))))
+        return keyed.join(nodes[k], "block", "left").withColumn("best", near).drop("block", "rows")
+
+    rows = asked.select("pos", F.col("n").alias("at"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("other"))
+    for k in range(len(nodes)):
+        up = F.floor(F.col("at") / FAN_OUT)
+        met = search(rows, k, F.col("level").isNull(), up, F.lit(False))
+        at = F.when(F.col("level").isNotNull(), F.col("at")).otherwise(F.coalesce(F.col("best.n"), up))
+        rows = stage(met.select("pos", "side", at.alias("at"), F.coalesce("level", F.when(F.col("best").isNotNull(), k)).alias("level"), F.coalesce("other", "best.pos").alias("other")), "upwards")
+    rows = rows.where("level is not null")
+    for k in range(len(nodes) - 1, 0, -1):
+        met = search(rows, k - 1, F.col("level") == k, F.col("at"), F.lit(True))
+        rows = met.select("pos", "side", F.coalesce("best.n", "at").alias("at"), F.when(F.col("best").isNull(), F.col("level")).otherwise(k - 1).alias("level"), F.coalesce("best.pos", "other").alias("other"))
+    return rows.select("pos", "other")
+
+
+def longest_earlier(enough: DataFrame, inside: DataFrame, levels: DataFrame) -> DataFrame:
+    """(pos, lcp): the longest common prefix of each suffix with any earlier position of its interval.
+
+    enough (a, b, lcp) holds the neighbours in the suffix array within intervals, inside (pos, end, n,
+    interval) all suffixes in that order.
+    """
+    sides = enough.select(F.col("a").alias("pos"), F.col("b").alias("other"), "lcp").unionByName(enough.select(F.col("b").alias("pos"), F.col("a").alias("other"), "lcp"))
+    near = stage(sides.groupBy("pos").agg(F.max("lcp").alias("most"), F.max(F.when(F.col("other") < F.col("pos"), F.col("lcp"))).alias("lcp")), "neighbours")
+    known = near.where("lcp = most").select("pos", "lcp")
+    shared = inside.join(near, "pos")
+    first = shared.groupBy("interval").agg(F.min("pos").alias("first"))
+    open_ = stage(shared.where("lcp is null or lcp < most").join(first, "interval").where("pos <> first").select("pos", "end", "n", "interval"), "open")
+    if open_.isEmpty():
+        return known
+    found = earlier_neighbours(shared.select("n", "pos"), open_.select("n", "pos"))
+    ends = inside.select(F.col("pos").alias("other"), F.col("end").alias("a_end"), F.col("interval").alias("other_interval"))
+    pairs = found.join(ends, "other").join(open_, "pos").where("interval = other_interval").select(F.col("other").alias("a"), "a_end", F.col("pos").alias("b"), F.col("end").alias("b_end"))
+    searched = common_prefixes(stage(pairs, "matches"), levels, "agreed").groupBy("b").agg(F.max("lcp").alias("lcp"))
+    return known.unionByName(searched.withColumnRenamed("b", "pos"))
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(documents, runs): doc_id, h, nth, n_lines, begin of each row of docs; begin, first, last of its deleted lines.
 
@@ -130,13 +190,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFram
     lcp = common_prefixes(pairs, levels, "lcp")
     # words of the common prefix: up to its last line, and of that line
     until = words.select((F.col("pos") + 1).alias("upto"), (F.col("w") + F.col("words")).alias("w1"))
-    enough = lcp.withColumn("upto", F.col("b") + F.col("lcp")).join(until, "upto").join(words.select(F.col("pos").alias("b"), F.col("w").alias("w0")), "b").where(F.col("w1") - F.col("w0") >= min_words).select("b")
-    marked = array.join(enough.withColumn("joins", F.lit(0)), array["pos"] == enough["b"], "left").select("pos", "end", "n", F.coalesce("joins", F.lit(1)).alias("starts"))
+    enough = lcp.withColumn("upto", F.col("b") + F.col("lcp")).join(until, "upto").join(words.select(F.col("pos").alias("b"), F.col("w").alias("w0")), "b").where(F.col("w1") - F.col("w0") >= min_words).select("a", "b", "lcp")
+    enough = stage(enough, "enough")
+    marked = array.join(enough.select("b", F.lit(0).alias("joins")), array["pos"] == F.col("b"), "left").select("pos", "end", "n", F.coalesce("joins", F.lit(1)).alias("starts"))
     inside = stage(running_sums(marked, [], [F.col("n")], {"interval": F.col("starts")}, "intervals"), "intervals")
-    first = inside.groupBy("interval").agg(F.min("pos").alias("a"), F.count("*").alias("size")).where("size > 1")
-    ends = inside.select(F.col("pos").alias("a"), F.col("end").alias("a_end"))
-    copies = inside.select("interval", F.col("pos").alias("b"), F.col("end").alias("b_end")).join(first.join(ends, "a"), "interval").where("a <> b").select("a", "a_end", "b", "b_end")
-    agreed = common_prefixes(copies, levels, "agreed").select(F.col("b").alias("pos"), "lcp").join(words.select("pos", "begin"), "pos")
+    agreed = longest_earlier(enough, inside, levels).join(words.select("pos", "begin"), "pos")
     spans = agreed.select("begin", (F.col("pos") - F.col("begin")).alias("s"), (F.col("pos") - F.col("begin") + F.col("lcp")).alias("e"))
     # a document's own spans, joined where they touch
     by_start = Window.partitionBy("begin").orderBy("s", "e")

@@ -63,3 +63,46 @@ def test_edges(spark):
     rows = [(None, "w " * 60), (1, "w " * 60), (1, "w " * 60), (None, None)]
     got = line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 4 and sorted(r.n_removed for r in got) == [0, 0, 1, 1]
+
+
+def brute_all(docs, min_words):
+    """As brute(), but each run is as long as its longest match with any earlier position."""
+    axis = [(d, k) for d, t in enumerate(docs) for k, _ in enumerate((t or "").split("\n"))]
+    lines = [x for t in docs for x in (t or "").split("\n")]
+    end = {d: p + 1 for p, (d, _) in enumerate(axis)}
+    n_words = [len(WORD.findall(x)) for x in lines]
+    drop = set()
+    for p, (d, _) in enumerate(axis):
+        most = 0
+        for f in range(p):
+            n = 0
+            while p + n < end[d] and f + n < end[axis[f][0]] and lines[p + n] == lines[f + n]:
+                n += 1
+            most = max(most, n)
+        if sum(n_words[p : p + most]) >= min_words:
+            drop |= set(range(p, p + most))
+    out = []
+    for d, t in enumerate(docs):
+        own = [p for p, (x, _) in enumerate(axis) if x == d]
+        gone = [p for p in own if p in drop]
+        out.append(("\n".join(lines[p] for p in own if p not in drop) if gone else t, len(own), len(gone)))
+    return out
+
+
+def check_all(spark, docs, min_words):
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = line_dedup.without_repeats(df, min_words).orderBy("doc_id").collect()
+    assert [(r.text, r.n_lines, r.n_removed) for r in got] == brute_all(docs, min_words)
+
+
+def test_longest_of_all_earlier_matches(spark):
+    long, tail = "w " * 60, "ten more words that only the later copies do have"
+    check_all(spark, [long, f"{long}\n{tail}", f"{long}\n{tail}"], 50)
+
+
+@pytest.mark.parametrize("fan_out", [2, 64])
+def test_random_matches_of_many_depths(spark, monkeypatch, fan_out):
+    monkeypatch.setattr(line_dedup, "FAN_OUT", fan_out)
+    rng = random.Random(fan_out)
+    tails = ["\n".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(120)]
+    check_all(spark, [f"{'w ' * 9}\n{t}" for t in tails] + ["\n".join(["v " * 9] * 12)] * 2, 8)
