@@ -16,7 +16,7 @@ from kinfold import graph as graphs
 from kinfold.config import Config, validate
 from kinfold.control import FileLock, HealthGate, Keepalive, LockError, Stop, may_force, wait_for_sentinel
 from kinfold.operators.closure import Keys, closure, root_batch, table_counts
-from kinfold.operators.copy import insert_ignore, needs_strict, strict_insert
+from kinfold.operators.copy import insert_ignore, insert_missing, needs_strict, strict_insert
 from kinfold.operators.estimate import batch_count, estimate, payload, placeholders
 from kinfold.operators.verify import verify
 from kinfold.plans.catalog import Catalog
@@ -301,7 +301,9 @@ class _Run:
             for t in g.copy_order():
                 incoming, existing = found[t].of(source[t]), e.destination.table(t)
                 key = None if g.keys[t] is None else [g.keys[t]]
-                if key and self.strict:
+                if key is None:
+                    rows = insert_missing(incoming, existing)
+                elif self.strict:
                     rows = strict_insert(t, incoming, existing, [key, *self.unique[t]])
                 else:
                     rows = insert_ignore(incoming, existing, key, self.unique[t])

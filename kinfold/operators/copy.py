@@ -41,6 +41,14 @@ def insert_ignore(incoming: DataFrame, existing: DataFrame, key: Sequence[str] |
     return out
 
 
+def insert_missing(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """Rows of a table without a key that are to be added: each as often as incoming holds it more often than existing.
+
+    Whole rows are compared, nulls being values. What was added once adds nothing when it comes again.
+    """
+    return incoming.exceptAll(existing.select(*incoming.columns))
+
+
 def conflicts(incoming: DataFrame, existing: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys of incoming rows that the destination has already."""
     return incoming.select(*key).join(existing.select(*key), list(key), "left_semi").distinct()

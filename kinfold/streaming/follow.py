@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from kinfold.functions.predicates import where as predicate
 from kinfold.graph import Graph
 from kinfold.operators.closure import closure
-from kinfold.operators.copy import insert_ignore
+from kinfold.operators.copy import insert_ignore, insert_missing
 from kinfold.sources.store import Change, Store
 
 
@@ -30,7 +30,8 @@ def follow(spark: SparkSession, graph: Graph, root_folder: str, tables: Callable
         found = closure(graph, now, rows.select(key))
         changes = {}
         for t in graph.copy_order():
-            changes[t] = Change(add=insert_ignore(found[t].of(now[t]), destination.table(t), None if graph.keys[t] is None else [graph.keys[t]]))
+            incoming, existing, own = found[t].of(now[t]), destination.table(t), graph.keys[t]
+            changes[t] = Change(add=insert_missing(incoming, existing) if own is None else insert_ignore(incoming, existing, [own]))
         destination.commit(changes)
         rows.unpersist()
 

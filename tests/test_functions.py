@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from kinfold.config import ReplicationConfig, ServerConfig
 from kinfold.control import Channel, FileLock, HealthGate, Keepalive, Stop, StopRequested, may_force, problem_of, wait_for_sentinel
 from kinfold.functions import digest, predicates
-from kinfold.operators.copy import insert_ignore, needs_strict
+from kinfold.operators.copy import insert_ignore, insert_missing, needs_strict
 from kinfold.operators.closure import batches
 from kinfold.sources import jdbc
 from kinfold.config import StoreConfig
@@ -69,6 +69,14 @@ def test_insert_ignore(spark):
     assert needs_strict("count", False, False) and needs_strict("sha256", True, False) and needs_strict("sha256", False, True) and not needs_strict("sha256", False, False)
 
 
+def test_insert_missing_keeps_repeated_rows(spark):
+    have = spark.createDataFrame([(1, "a"), (3, None)], "id int, u string")
+    new = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (3, None)], "id int, u string")
+    rows = insert_missing(new, have)
+    assert sorted(map(tuple, rows.collect())) == [(1, "a"), (2, None), (2, None)]
+    assert insert_missing(new, have.union(rows)).count() == 0
+
+
 def test_batches_of_many_ranges(spark):
     got = batches(spark.range(1005).select(F.col("id").alias("k")), "k", 100).orderBy("batch").collect()
     assert [(r.batch, r.rows, r.first_key) for r in got] == [(i, 100 if i < 10 else 5, 100 * i) for i in range(11)]
