@@ -482,9 +482,14 @@ def log_status_breakdown(spark, sf_dir):
 
 @query(f"SELECT root_key, (row_number() OVER (ORDER BY root_key::BIGINT))::INT AS position FROM (SELECT * FROM ({_LOG}) WHERE status = 0 ORDER BY root_key::BIGINT LIMIT 25)")
 def log_replay_order(spark, sf_dir):
-    """Keys as numbers, not as text: 9 comes before 10."""
-    first = state.replay_order(job_log(spark, sf_dir).filter("status = 0")).limit(25).collect()
-    return spark.createDataFrame([(r.root_key, i + 1) for i, r in enumerate(first)], "root_key string, position int")
+    """The first 25 of log_replay_all, as its SQL has it. Keys as numbers, not as text: 9 comes before 10."""
+    return log_replay_all(spark, sf_dir).where("position <= 25").withColumn("position", F.col("position").cast("int"))
+
+
+@query(f"SELECT root_key, row_number() OVER (ORDER BY root_key::BIGINT) AS position FROM ({_LOG}) WHERE status = 0")
+def log_replay_all(spark, sf_dir):
+    """All pending keys with their place in the order of replay."""
+    return state.replay_positions(job_log(spark, sf_dir).filter("status = 0"))
 
 
 @query(f"WITH l AS (SELECT root_key::BIGINT AS k, status FROM ({_LOG}) WHERE status IN (0, 1)), c AS (SELECT *, (status IS DISTINCT FROM lag(status) OVER (ORDER BY k))::INT AS ch FROM l), r AS (SELECT *, sum(ch) OVER (ORDER BY k)::BIGINT AS run FROM c) SELECT run, min(status) AS status, count(*) AS rows, min(k) AS first_key, max(k) AS last_key FROM r GROUP BY run")

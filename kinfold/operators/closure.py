@@ -77,16 +77,22 @@ def closure_with_keys(root: DataFrame, key: str, where: str | None) -> DataFrame
     return root_batch(root, key, where)
 
 
-def batches(keys: DataFrame, key: str, size: int) -> DataFrame:
-    """batch, rows, first_key, checkpoint: how ascending keys fall into batches of a size.
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with i, their place in the order of key from 1.
 
-    Keys are dealt into ranges, numbered within each and shifted by the rows of the ranges before, so that
+    Rows are dealt into ranges, numbered within each and shifted by the rows of the ranges before, so that
     no task sorts them all.
     """
     from pyspark.sql import Window
 
-    ranged = keys.select(F.col(key).alias("k")).repartitionByRange("k").withColumn("r", F.spark_partition_id()).persist()
-    per = ranged.groupBy("r").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    numbered = ranged.withColumn("i", F.row_number().over(Window.partitionBy("r").orderBy("k"))).join(F.broadcast(per), "r")
-    batch = F.floor((F.col("before") + F.col("i") - 1) / size).cast("long")
-    return numbered.groupBy(batch.alias("batch")).agg(F.count("*").alias("rows"), F.min("k").alias("first_key"), F.max("k").alias("checkpoint"))
+    ranged = rows.repartitionByRange(key).withColumn("_r", F.spark_partition_id()).persist()
+    per = ranged.groupBy("_r").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    within = ranged.withColumn("i", F.row_number().over(Window.partitionBy("_r").orderBy(key)))
+    return within.join(F.broadcast(per), "_r").select(*rows.columns, (F.col("_before") + F.col("i")).cast("long").alias("i"))
+
+
+def batches(keys: DataFrame, key: str, size: int) -> DataFrame:
+    """batch, rows, first_key, checkpoint: how ascending keys fall into batches of a size."""
+    rows = numbered(keys.select(F.col(key).alias("k")), "k")
+    batch = F.floor((F.col("i") - 1) / size).cast("long")
+    return rows.groupBy(batch.alias("batch")).agg(F.count("*").alias("rows"), F.min("k").alias("first_key"), F.max("k").alias("checkpoint"))

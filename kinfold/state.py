@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.closure import numbered
 from kinfold.sources.store import Change, Store, StoreError
 
 PENDING, COPIED, COMPLETED, FAILED = 0, 1, 2, 3
@@ -41,6 +42,12 @@ def replay_order(log: DataFrame) -> DataFrame:
     return log.orderBy(F.col("root_key").cast("decimal(20,0)"))
 
 
+def replay_positions(log: DataFrame) -> DataFrame:
+    """root_key, position: the place of every key in the order of replay, from 1."""
+    rows = log.select("root_key", F.col("root_key").cast("decimal(20,0)").alias("k"))
+    return numbered(rows, "k").select("root_key", F.col("i").alias("position"))
+
+
 def recovery_runs(log: DataFrame) -> DataFrame:
     """run, status, rows, first_key, last_key: copied and pending keys as ascending runs of one status.
 

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from kinfold.config import ReplicationConfig, ServerConfig
 from kinfold.control import Channel, FileLock, HealthGate, Keepalive, Stop, StopRequested, may_force, problem_of, wait_for_sentinel
 from kinfold.functions import digest, predicates
+from kinfold import catalogue, state
 from kinfold.operators.copy import insert_ignore, insert_missing, needs_strict
-from kinfold.operators.closure import batches
+from kinfold.operators.closure import batches, numbered
 from kinfold.sources import jdbc
 from kinfold.config import StoreConfig
 
@@ -77,6 +78,21 @@ def test_insert_missing_keeps_repeated_rows(spark):
     assert insert_missing(new, have.union(rows)).count() == 0
 
 
+def test_numbered_and_replay_positions(spark):
+    keys = spark.range(1005).repartition(7).select((F.col("id") * 2).alias("k"))
+    assert [r.i for r in numbered(keys, "k").orderBy("k").collect()] == list(range(1, 1006))
+    got = state.replay_positions(spark.createDataFrame([("10",), ("9",), ("100",)], "root_key string")).collect()
+    assert {r.root_key: r.position for r in got} == {"9": 1, "10": 2, "100": 3}
+
+
+def test_all_pending_keys_come_back(spark):
+    sf = "/root/testdata/sf0.01"
+    pending = catalogue.job_log(spark, sf).filter("status = 0").count()
+    got = catalogue.QUERIES["log_replay_all"](spark, sf).collect()
+    assert pending > 25 and sorted(r.position for r in got) == list(range(1, pending + 1))
+    assert [r.position for r in sorted(got, key=lambda r: int(r.root_key))] == list(range(1, pending + 1))
+
+
 def test_batches_of_many_ranges(spark):
     got = batches(spark.range(1005).select(F.col("id").alias("k")), "k", 100).orderBy("batch").collect()
     assert [(r.batch, r.rows, r.first_key) for r in got] == [(i, 100 if i < 10 else 5, 100 * i) for i in range(11)]
