@@ -52,3 +52,19 @@ def test_odd_documents(spark):
         for _, step in P.STAGES:
             docs = stage(step(spark, docs, "/root/testdata/sf0.001"), "odd")
         assert docs.count() == 0 if not table else docs.count() > 0
+
+
+def test_rows_without_or_with_the_same_id(spark):
+    schema = read(spark, D, "documents").schema
+    near_dedup, leaks_out = dict(P.STAGES)["near_dedup"], dict(P.STAGES)["decontamination"]
+    make = lambda pairs: spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in pairs], schema)
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    item = read(spark, D, "benchmark").first().text
+    clean = [" ".join(f"{c}{k}" for k in range(60)) for c in "xyz"]
+    keeps = [(None, clean[0]), (None, None), (7, clean[1])]
+    assert left(leaks_out(spark, make([*keeps, (None, item), (7, item), (8, f"{clean[2]} {item}")]), D)) == sorted(keeps, key=str)
+    near = lambda k: f"{clean[k]} end"
+    docs = [(None, clean[0]), (None, near(0)), (3, clean[1]), (None, near(1)), (3, clean[2]), (2, near(2)), (None, None), (None, None), (5, ""), (5, ""), (6, "")]
+    got = left(near_dedup(spark, make(docs), D))
+    first = [g for g in got if g in docs[:2]]
+    assert len(first) == 1 and [g for g in got if g not in docs[:2]] == sorted([(3, clean[1]), (2, near(2)), (None, None), (None, None), (5, ""), (6, "")], key=str)
