@@ -50,25 +50,29 @@ def copies(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHT
     any other; rows that agree in id, source and size may change places. Documents of size 0 may be
     emitted but add no words. An empty table gives an empty result. Other columns are ignored.
     """
+    return _counted(docs, [], seed, weights, share, most)
+
+
+def _counted(docs: DataFrame, ties: list[str], seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """copies() with the columns ties, which also order rows that agree in size and doc_id."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stage(docs.select("doc_id", _key(F.col("source")).alias("source_key"), size.alias("size")), "sizes")
+    sized = stage(docs.select("doc_id", *ties, _key(F.col("source")).alias("source_key"), size.alias("size")), "sizes")
     aims = stage(targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     expected = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long")
     rows = sized.join(aims.withColumn("expected", expected), "source_key")
-    order = [F.desc("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("doc_id")]
+    order = [F.desc("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("doc_id"), *[F.col(c) for c in ties]]
     summed = running_sums(rows, ["source_key"], order, {"upto": F.col("expected")}, "mix")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("source_key"))), 1, 7), 16, 10).cast("long") * (UNIT >> 28)
     crossed = F.floor((F.col("upto") + offset) / UNIT) - F.floor((F.col("upto") - F.col("expected") + offset) / UNIT)
-    return summed.select("doc_id", "size", "source_size", "target", crossed.cast("int").alias("copies"))
+    return summed.select("doc_id", *ties, "size", "source_size", "target", crossed.cast("int").alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, all their columns, each as often as it is taken.
 
-    Rows that share a doc_id share its rows of copies() in a fixed order.
+    Rows are numbered, so each takes its own copies, with or without an id of its own.
     """
-    names = docs.columns
-    nth = lambda *by: F.row_number().over(Window.partitionBy("doc_id").orderBy(*by))
-    taken = copies(docs, **options).withColumn("_nth", nth("size", "source_size", "copies")).select(F.col("doc_id").alias("_id"), F.col("_nth").alias("_k"), "copies").where("copies > 0").withColumnRenamed("copies", "_copies")
-    rows = docs.withColumn("_nth", nth("text", "source")).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_k")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    # written, so that the numbers stay
+    rows = stage(docs.withColumns({"_row": F.monotonically_increasing_id(), "_text": F.xxhash64("text")}), "rows")
+    taken = _counted(rows, ["_text", "_row"], **options).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

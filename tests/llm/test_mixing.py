@@ -66,3 +66,21 @@ def test_odd_rows(spark):
     twice = df.union(df)
     assert mixing.mixed(twice).count() == mixing.copies(twice).agg({"copies": "sum"}).first()[0]
     assert mixing.copies(df.limit(0)).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_each_row_takes_its_own_copies(spark):
+    from collections import Counter
+
+    text = lambda k, n: " ".join([f"t{k}"] * n)
+    rows = [(i, text(k, 1 + 37 * k % 50), "abc"[k % 3]) for k, i in enumerate([None, 1] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = Counter(), Counter()
+    for r in mixing.copies(docs).collect():
+        want[r.doc_id, r.size, round(r.target, 6)] += r.copies
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    target = fill(dict(sorted(sizes.items())))
+    for r in mixing.mixed(docs).collect():
+        got[r.doc_id, len(r.text.split()), round(target[r.source], 6)] += 1
+    assert got == +want
