@@ -10,7 +10,10 @@ from kinfold.llm.common import is_held_out, read, scratch
 
 
 def op1_preference_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations against alternatives with another last answer, as rendered segments."""
+    """Conversations against alternatives with another last answer, as rendered segments.
+
+    Conversations without an answer, and the last one with an answer, make no pair.
+    """
     chosen, rejected = preference.answer_pairs(read(spark, sf_dir, "conversations"))
     return preference.segments(chosen, rejected)
 
