@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -24,10 +25,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where it is unset, a new local folder serves a driver that runs its own tasks, as in tests; on a cluster
+    that is an error, since executors would not see each other's files.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinfold-"))
         path = sc.getCheckpointDir()
     return path
@@ -37,10 +44,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for those staged with keep: these pass to the scope around it, if there is one."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def stage(df: DataFrame, name: str, path: str | None = None, keep: bool = False) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = path or scratch(spark, name)
+    for scope in _scopes[: -1 if keep else None][-1:]:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,6 +74,55 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_key(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """Two hashes, 96 bits in all, over the values of the named columns, or of all of them. Null differs from any value."""
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in (kind := f.dataType.simpleString()) or kind == "variant" else F.col(f"`{f.name}`")
+    fields = [f for f in df.schema.fields if names is None or f.name in names]
+    values = [x for f in fields for x in (F.isnull(F.col(f"`{f.name}`")), plain(f))]
+    return [F.xxhash64(*values), F.hash(*values, F.lit(7))]
+
+
+#: Keys that may each hold more than a task's fair share of the rows of a join.
+HOT_KEYS, HOT_ROWS = 4096, 100
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """rows joined to table, which has one row a key, however many rows one key has. A null key meets nothing.
+
+    Keys with more than 1 / HOT_KEYS of all rows are fewer than HOT_KEYS: their entries are broadcast, and
+    their rows stay where they are. All others are joined by shuffling. counts (key, n) saves counting the
+    keys of rows. Both tables should be written ones: they are read twice. how: inner or left.
+    """
+    if counts is None:
+        counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    total, some = rows.count(), F.lit(True)
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    for k in key:
+        some = some & F.col(k).isNotNull()
+    # fewer than HOT_KEYS rows
+    hot = counts.where(some).where(F.col("n") > bound).select(*key).collect() if total > bound else []
+    names = [*rows.columns, *[c for c in table.columns if c not in key]]
+    plain = rows.join(table, key, how).select(*names) if how == "inner" else None
+    if not hot:
+        return plain if how == "inner" else rows.where(some).join(table, key, how).select(*names).unionByName(rows.where(~some), allowMissingColumns=True)
+    keys = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*key).schema))
+    spread = rows.join(F.broadcast(table.join(keys, key, "left_semi")), key, how)
+    if how == "left":
+        spread = spread.join(keys, key, "left_semi")
+        rest = rows.where(some).join(keys, key, "left_anti").join(table, key, how).select(*names).unionByName(rows.where(~some), allowMissingColumns=True)
+    else:
+        rest = rows.join(keys, key, "left_anti").join(table, key)
+    return spread.select(*names).unionByName(rest.select(*names))
+
+
 _shipped: set[str] = set()
 
 
@@ -79,12 +151,12 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
+def bounded_sample(rows: DataFrame, limit: int, *key: str) -> DataFrame:
     """At most limit rows, the first by a hash of their key. Rows are thinned out by the hash beforehand, so that tasks send the driver about limit rows in all, however many there are."""
-    n, parts = rows.count(), 1 << 24
+    n, parts, key = rows.count(), 1 << 24, key or ("doc_id",)
     if n > 2 * limit:
-        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) < int(1.2 * parts * limit / n) + 1)
-    return rows.orderBy(F.pmod(F.xxhash64(key), F.lit(parts)), key).limit(limit)
+        rows = rows.where(F.pmod(F.xxhash64(*key), F.lit(parts)) < int(1.2 * parts * limit / n) + 1)
+    return rows.orderBy(F.pmod(F.xxhash64(*key), F.lit(parts)), *key).limit(limit)
 
 
 def word_count(text: Column) -> Column:
