@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WORD, stage
+from kinfold.llm.common import WORD, free_name, passing, row_key, stage
 from kinfold.llm.running import running_sums
 
 UNIT = 1 << 30
@@ -50,29 +50,41 @@ def copies(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHT
     any other; rows that agree in id, source and size may change places. Documents of size 0 may be
     emitted but add no words. An empty table gives an empty result. Other columns are ignored.
     """
-    return _counted(docs, [], seed, weights, share, most)
+    sized = docs.select("doc_id", _key(F.col("source")).alias("source_key"), _size().alias("size"), F.lit(1).cast("long").alias("rows"))
+    with passing(docs.sparkSession):
+        return _counted(stage(sized, "sizes"), [], seed, weights, share, most)
 
 
-def _counted(docs: DataFrame, ties: list[str], seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """copies() with the columns ties, which also order rows that agree in size and doc_id."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stage(docs.select("doc_id", *ties, _key(F.col("source")).alias("source_key"), size.alias("size")), "sizes")
-    aims = stage(targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    expected = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long")
-    rows = sized.join(aims.withColumn("expected", expected), "source_key")
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _counted(sized: DataFrame, ties: list[str], seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """copies() of sized (doc_id, source_key, size, rows, ties), where rows equal rows stand behind each other; ties also order rows that agree in size and doc_id."""
+    aims = stage(targets(sized.groupBy("source_key").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, share, most), "targets", keep=True)
+    expected = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long") * F.col("rows")
+    rows = sized.join(aims, "source_key").withColumn("expected", expected)
     order = [F.desc("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("doc_id"), *[F.col(c) for c in ties]]
-    summed = running_sums(rows, ["source_key"], order, {"upto": F.col("expected")}, "mix")
+    summed = running_sums(rows, ["source_key"], order, {"upto": F.col("expected")}, "mix", keep=True)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("source_key"))), 1, 7), 16, 10).cast("long") * (UNIT >> 28)
     crossed = F.floor((F.col("upto") + offset) / UNIT) - F.floor((F.col("upto") - F.col("expected") + offset) / UNIT)
-    return summed.select("doc_id", *ties, "size", "source_size", "target", crossed.cast("int").alias("copies"))
+    return summed.select("doc_id", *ties, "size", "source_size", "target", crossed.cast("long" if ties else "int").alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, all their columns, each as often as it is taken.
 
-    Rows are numbered, so each takes its own copies, with or without an id of its own.
+    Rows that agree in all columns are one, taken as often as all of them: only one of them is moved,
+    however many there are. A row is known by 96 bits of hashes over its columns, so each takes its own
+    copies, with or without an id of its own.
     """
-    # written, so that the numbers stay
-    rows = stage(docs.withColumns({"_row": F.monotonically_increasing_id(), "_text": F.xxhash64("text")}), "rows")
-    taken = _counted(rows, ["_text", "_row"], **options).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    a, b, n = (free_name(docs, c) for c in ("_k1", "_k2", "_copies"))
+    k1, k2 = row_key(docs)
+    each = docs.select("doc_id", _key(F.col("source")).alias("source_key"), _size().alias("size"), k1.alias("k1"), k2.alias("k2"))
+    with passing(docs.sparkSession):
+        sized = stage(each.groupBy(*each.columns).agg(F.count("*").alias("rows")), "sizes")
+        taken = _counted(sized, ["k1", "k2"], **options).where("copies > 0").select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("copies").alias(n))
+    # as many rows as the mix has different ones: one plan at every size
+    once = docs.withColumns({a: k1, b: k2}).dropDuplicates([a, b])
+    every = once.join(taken.hint("merge"), [a, b])
+    return every.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import stage
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], name: str, keep: bool = False) -> DataFrame:
     """df with, for each of sums, the sum of its expression over the rows of the same keys up to and including this one.
 
     Rows are dealt out by ranges of (keys, order), so that a key of any size is spread over many tasks,
     and each remembers its range. Sums within a range are windows of bounded size; sums of the earlier
     ranges of a key come from a table with one row for each key and range. Rows with a null key are left
-    out. Rows that order does not tell apart take an arbitrary order.
+    out. Rows that order does not tell apart take an arbitrary order. keep: of the table that the result reads.
     """
     for n in ("_range", "_before"):
         assert n not in df.columns
-    ranged = stage(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()), name)
+    ranged = stage(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()), name, keep=keep)
     names = list(sums)
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(sums[n]).alias(f"_t_{n}") for n in names])
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
