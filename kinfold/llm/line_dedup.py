@@ -1,232 +1,173 @@
 """Repeated runs of lines by a suffix array over line-ID sequences.
 
-Lines of all documents are positions on one axis, in the order of doc_id; a suffix begins at a position
-and ends with its document. Suffixes are ranked by their first line, then by their first 2, 4, 8, ...
-lines (prefix doubling): the rank of a prefix of twice the length follows from the pair of ranks of its
-halves. A rank is the number of suffixes whose prefix is smaller, so only groups of equal ranks are
-refined, and suffixes that are alone or have ended take no further part. Each round is a few shuffles of
-narrow rows.
-
-The ranks of all rounds also give the longest common prefix of any two suffixes, by descending powers of
-two. Suffixes that follow each other in the suffix array with a common prefix of at least min_words words
-form an interval: the occurrences of one run. The first occurrence in the order of positions stays. Of
-every later one the lines of its longest match with any earlier position are deleted. That match is the one
-with the nearest smaller position before it or after it in the suffix array. No match is longer than that
-with a neighbour, so where an earlier neighbour has the longest, it is found; the others search a tree of
-block minima.
+Lines that occur once part the documents: between them lie stretches of repeated lines, and only those of at
+least min_words words can hold a repeated run. Their suffixes are ranked by their first line, then by their
+first 2, 4, 8, ... lines (prefix doubling): the rank of a prefix of twice the length follows from the pair of
+ranks of its halves. A rank is the number of suffixes whose prefix is smaller. What is asked is where suffixes
+agree for min_words words, so the rounds end when the prefixes have as many: a suffix takes no part in rounds
+beyond, and one whose prefix occurs once has no common prefix with any other and drops out.
+
+A run of lines is told by the ranks of the two overlapping prefixes, a power of two long, that cover it. Runs
+sorted by these ranks, then by position, are the suffix array at the depth of min_words: those with equal ranks
+are an interval of suffixes whose longest common prefix has at least min_words words. The first one in the
+order of positions stays.
+
+A line is part of a run that an earlier position has too if, and only if, one of two kinds of runs occurs
+earlier: the shortest one of min_words words from some line up to it on, or the shortest that ends with it.
+(Where the longer run has as many words up to the line, it holds the second kind; else the first kind, taken
+from where it begins, reaches the line.) So the deleted lines are those of the longest match of each suffix
+with any earlier position, though no match is followed to its end.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import stage, word_count
+from kinfold.llm.common import HOT_KEYS, HOT_ROWS, free_name, hot_join, passing, row_key, stage, word_count
 from kinfold.llm.running import running_sums
 
 MIN_WORDS = 50
-#: Suffixes, or blocks of them, in a block of the tree of minima.
-FAN_OUT = 64
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _nth() -> Column:
-    """Tells rows with the same id and text apart."""
-    return F.row_number().over(Window.partitionBy("h").orderBy("doc_id"))
-
-
-def _by_row(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Join on h and nth. As an equation of h alone, beside a condition, it takes the rows as the window of nth has dealt them out."""
-    right = found.withColumnsRenamed({"h": "_h", "nth": "_n"})
-    return rows.join(right, (rows["h"] == right["_h"]) & (rows["nth"] - right["_n"] == 0), how).drop("_h", "_n")
+def stretches(lines: DataFrame, min_words: int) -> DataFrame:
+    """lines (row, i, h1, h2, words) -> (row, stretch, i, rank, before, words, end) of the lines in stretches of at least min_words words.
 
-
-#: A line that occurs nowhere else sorts after all others, by its position.
-_UNIQUE = 1 << 62
+    rank is the place of the line among all repeated ones, equal lines having the same; before are the
+    words of the stretch before it, end is the line behind the stretch.
+    """
+    keys = stage(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    ranked = stage(running_sums(keys, [], [F.col("h1"), F.col("h2")], {"upto": F.col("n")}, "names").select("h1", "h2", (F.col("upto") - F.col("n")).alias("rank")), "ranks")
+    known = hot_join(lines, ranked, ["h1", "h2"], keys).select("row", "i", "rank", "words")
+    # within a stretch lines and their numbers among the repeated ones go up together
+    known = known.withColumn("stretch", F.col("i") - F.row_number().over(Window.partitionBy("row").orderBy("i")))
+    own = Window.partitionBy("row", "stretch")
+    so_far = F.sum("words").over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    known = known.withColumns({"before": so_far, "all": F.sum("words").over(own), "end": F.max("i").over(own) + 1})
+    return known.where(F.col("all") >= min_words).drop("all")
+
+
+def shortest_runs(known: DataFrame, min_words: int) -> DataFrame:
+    """(row, i, n): the shortest runs of at least min_words words from a line on, and up to a line, n lines each."""
+    # one more mark stands for the end of the stretch
+    mark, end = F.struct("i", "before"), F.struct(F.col("end").alias("i"), (F.col("before") + F.col("words")).alias("before"))
+    marks = F.when(F.col("i") + 1 == F.col("end"), F.array(mark, end)).otherwise(F.array(mark))
+    marks = known.select("row", "stretch", F.explode(marks).alias("m")).select("row", "stretch", "m.*")
+    own = Window.partitionBy("row", "stretch")
+    # lines without words leave before as it is: the nearest end and the nearest beginning are taken
+    ahead = F.min("i").over(own.orderBy(F.desc("before")).rangeBetween(Window.unboundedPreceding, -min_words))
+    back = F.max("i").over(own.orderBy("before").rangeBetween(Window.unboundedPreceding, -min_words))
+    found = marks.withColumns({"to": ahead, "from": back})
+    runs = F.array(F.struct(F.col("i").alias("i"), (F.col("to") - F.col("i")).alias("n")), F.struct(F.col("from").alias("i"), (F.col("i") - F.col("from")).alias("n")))
+    return found.select("row", F.explode(runs).alias("r")).select("row", "r.*").where("n is not null").distinct()
+
+
+def doubled_ranks(known: DataFrame, runs: DataFrame) -> DataFrame:
+    """(row, i, k, rank): the ranks of suffixes by their first 2**k lines, as far as runs ask. Beyond one line those that occur once are left out."""
+    most = runs.agg(F.max("n")).first()[0] or 0
+    asked = runs.groupBy("row").agg(F.max("n").alias("most"))
+    last = stage(known.join(asked, "row").select("row", "i", "rank", "most"), "ranks")
+    table, k = last.select("row", "i", F.lit(0).alias("k"), "rank"), 0
+    while 2 << k <= most:
+        half = last.where(F.col("most") >= 2 << k)
+        ahead = last.select("row", (F.col("i") - (1 << k)).alias("i"), F.col("rank").alias("next"))
+        pairs = stage(half.join(ahead, ["row", "i"]), "pairs")
+        counts = stage(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")), "counts")
+        names = running_sums(counts, ["rank"], [F.col("next")], {"upto": F.col("n")}, "names").where("n > 1")
+        names = stage(names.select("rank", "next", (F.col("rank") + F.col("upto") - F.col("n")).alias("new")), "names")
+        k += 1
+        last = stage(hot_join(pairs, names, ["rank", "next"], counts).select("row", "i", F.col("new").alias("rank"), "most"), "ranks")
+        table = table.unionByName(last.select("row", "i", F.lit(k).alias("k"), "rank"))
+    return table
 
 
-def suffix_ranks(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """lines (pos, end, h1, h2, ...) -> ((pos, ranks), (pos, end, rank), lines) of all suffixes whose first line occurs again.
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """k1, k2, copies, n_removed, cuts of the rows of docs that lose lines.
 
-    ranks[k] is the rank by the first 2**k lines; a shorter array stays at its last rank.
-    """
-    keys = lines.groupBy("h1", "h2").agg(F.count("*").alias("size")).where("size > 1")
-    ranked = running_sums(keys, [], [F.col("h1"), F.col("h2")], {"upto": F.col("size")}, "names").select("h1", "h2", (F.col("upto") - F.col("size")).alias("rank"))
-    repeated = stage(lines.join(ranked, ["h1", "h2"]).drop("h1", "h2"), "ranks")
-    active = repeated.select("pos", "end", "rank")
-    rounds, final, k = [active.select("pos", F.lit(0).alias("k"), "rank")], [], 0
-    while not active.isEmpty():
-        step = 1 << k
-        known = active.select("pos", "rank")
-        for x in final:
-            known = known.unionByName(x.select("pos", "rank"))
-        ahead = known.select((F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
-        # beyond the end of its document a suffix has nothing, which comes first
-        after = F.when(F.col("pos") + step >= F.col("end"), -1).otherwise(F.coalesce("next", F.lit(_UNIQUE) + F.col("pos") + step))
-        pairs = stage(active.join(ahead, "pos", "left").withColumn("next", after), "pairs")
-        counts = pairs.groupBy("rank", "next").agg(F.count("*").alias("size"))
-        names = running_sums(counts, ["rank"], [F.col("next")], {"upto": F.col("size")}, "names").select("rank", "next", "size", (F.col("rank") + F.col("upto") - F.col("size")).alias("new"))
-        refined = stage(pairs.join(names, ["rank", "next"]).select("pos", "end", F.col("new").alias("rank"), "size", (F.col("next") < 0).alias("ended")), "ranks")
-        k += 1
-        rounds.append(refined.select("pos", F.lit(k).alias("k"), "rank"))
-        final.append(refined.where("size = 1 or ended").select("pos", "end", "rank"))
-        active = refined.where("size > 1 and not ended").select("pos", "end", "rank")
-    table, last = rounds[0], repeated.where("false").select("pos", "end", "rank")
-    for x in rounds[1:]:
-        table = table.unionByName(x)
-    for x in final:
-        last = last.unionByName(x)
-    # as many entries as there were rounds
-    table = table.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "rank"))), lambda x: x["rank"]).alias("ranks"))
-    return stage(table, "levels"), last, repeated
-
-
-def common_prefixes(pairs: DataFrame, levels: DataFrame, name: str) -> DataFrame:
-    """pairs (a, a_end, b, b_end) with lcp: how many lines both suffixes begin with. Pairs without any are left out."""
-    at = lambda r, k: F.get(r, F.least(k, F.size(r) - 1))
-    todo = pairs.withColumn("lcp", F.lit(0).cast("long"))
-    done = todo.where("false")
-    left = lambda s: levels.select(F.col("pos").alias(f"{s}_at"), F.col("ranks").alias(f"{s}_ranks"))
-    while True:
-        reach = todo.withColumns({"a_at": F.col("a") + F.col("lcp"), "b_at": F.col("b") + F.col("lcp")})
-        open_ = (F.col("a_at") < F.col("a_end")) & (F.col("b_at") < F.col("b_end"))
-        met = reach.where(open_).join(left("a"), "a_at", "left").join(left("b"), "b_at", "left")
-        top = F.greatest(F.size("a_ranks"), F.size("b_ranks")) - 1
-        equal = F.filter(F.sequence(F.lit(0), top), lambda k: at("a_ranks", k) == at("b_ranks", k))
-        best = F.when(F.col("a_ranks").isNotNull() & F.col("b_ranks").isNotNull(), F.array_max(equal))
-        # equal to the last of both ranks: one and the same suffix as far as it goes
-        rest = F.least(F.col("a_end") - F.col("a_at"), F.col("b_end") - F.col("b_at"))
-        whole = (best >= top) & (at("a_ranks", top) == at("b_ranks", top))
-        gain = F.when(best.isNull(), 0).when(whole, rest).otherwise(F.least(rest, F.pow(F.lit(2), best).cast("long")))
-        stepped = stage(met.withColumn("gain", gain.cast("long")).select("a", "a_end", "b", "b_end", (F.col("lcp") + F.col("gain")).alias("lcp"), "gain", "a_at", "b_at"), name)
-        full = reach.where(~open_).select(*done.columns)
-        over = (F.col("gain") == 0) | (F.col("a_at") + F.col("gain") >= F.col("a_end")) | (F.col("b_at") + F.col("gain") >= F.col("b_end"))
-        done = done.unionByName(full).unionByName(stepped.where(over).select(*done.columns))
-        todo = stepped.where(~over).select(*done.columns)
-        if todo.isEmpty():
-            return done.where("lcp > 0")
-
-
-def earlier_neighbours(inside: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (n, pos) -> (pos, other): the nearest rows of inside (n, pos) before n and after it that have a smaller pos.
-
-    Rows are searched by blocks of FAN_OUT, then blocks of blocks by their smallest pos, upwards until one
-    block has a smaller pos and down again in it. What is joined has at most FAN_OUT entries a row.
-    """
-    nodes, level = [], inside.select("n", "pos")
-    while True:
-        block = level.groupBy(F.floor(F.col("n") / FAN_OUT).alias("block")).agg(F.collect_list(F.struct("n", "pos")).alias("rows"))
-        nodes.append(stage(block, "blocks"))
-        level = nodes[-1].select(F.col("block").alias("n"), F.array_min(F.transform("rows", lambda x: x["pos"])).alias("pos"))
-        if level.count() <= 1:
-            break
-
-    def search(rows: DataFrame, k: int, looks: Column, key: Column, beyond: Column) -> DataFrame:
-        """rows with best: the nearest entry of the block key on level k with a smaller pos. Rows that do not look meet no block."""
-        keyed = rows.withColumn("block", F.when(looks, key).otherwise(-1 - F.col("pos")))
-        smaller = F.filter("rows", lambda x: (x["pos"] < F.col("pos")) & (beyond | ((x["n"] - F.col("at")) * F.col("side") > 0)))
-        near = F.array_min(F.transform(smaller, lambda x: F.struct((x["n"] * F.col("side")).alias("by"), x["n"].alias("n"), x["pos"].alias("pos"))))
-        return keyed.join(nodes[k], "block", "left").withColumn("best", near).drop("block", "rows")
-
-    rows = asked.select("pos", F.col("n").alias("at"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("other"))
-    for k in range(len(nodes)):
-        up = F.floor(F.col("at") / FAN_OUT)
-        met = search(rows, k, F.col("level").isNull(), up, F.lit(False))
-        at = F.when(F.col("level").isNotNull(), F.col("at")).otherwise(F.coalesce(F.col("best.n"), up))
-        rows = stage(met.select("pos", "side", at.alias("at"), F.coalesce("level", F.when(F.col("best").isNotNull(), k)).alias("level"), F.coalesce("other", "best.pos").alias("other")), "upwards")
-    rows = rows.where("level is not null")
-    for k in range(len(nodes) - 1, 0, -1):
-        met = search(rows, k - 1, F.col("level") == k, F.col("at"), F.lit(True))
-        rows = met.select("pos", "side", F.coalesce("best.n", "at").alias("at"), F.when(F.col("best").isNull(), F.col("level")).otherwise(k - 1).alias("level"), F.coalesce("best.pos", "other").alias("other"))
-    return rows.select("pos", "other")
-
-
-def longest_earlier(enough: DataFrame, inside: DataFrame, levels: DataFrame) -> DataFrame:
-    """(pos, lcp): the longest common prefix of each suffix with any earlier position of its interval.
-
-    enough (a, b, lcp) holds the neighbours in the suffix array within intervals, inside (pos, end, n,
-    interval) all suffixes in that order.
-    """
-    sides = enough.select(F.col("a").alias("pos"), F.col("b").alias("other"), "lcp").unionByName(enough.select(F.col("b").alias("pos"), F.col("a").alias("other"), "lcp"))
-    near = stage(sides.groupBy("pos").agg(F.max("lcp").alias("most"), F.max(F.when(F.col("other") < F.col("pos"), F.col("lcp"))).alias("lcp")), "neighbours")
-    known = near.where("lcp = most").select("pos", "lcp")
-    shared = inside.join(near, "pos")
-    first = shared.groupBy("interval").agg(F.min("pos").alias("first"))
-    open_ = stage(shared.where("lcp is null or lcp < most").join(first, "interval").where("pos <> first").select("pos", "end", "n", "interval"), "open")
-    if open_.isEmpty():
-        return known
-    found = earlier_neighbours(shared.select("n", "pos"), open_.select("n", "pos"))
-    ends = inside.select(F.col("pos").alias("other"), F.col("end").alias("a_end"), F.col("interval").alias("other_interval"))
-    pairs = found.join(ends, "other").join(open_, "pos").where("interval = other_interval").select(F.col("other").alias("a"), "a_end", F.col("pos").alias("b"), F.col("end").alias("b_end"))
-    searched = common_prefixes(stage(pairs, "matches"), levels, "agreed").groupBy("b").agg(F.max("lcp").alias("lcp"))
-    return known.unionByName(searched.withColumnRenamed("b", "pos"))
-
-
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(documents, runs): doc_id, h, nth, n_lines, begin of each row of docs; begin, first, last of its deleted lines.
-
-    Runs of one document do not touch each other; first and last are line numbers from 0.
+    k1 and k2 tell rows by doc_id and text. Of the copies of a row that agree in both, cuts (first, last)
+    holds the deleted lines of the first one, in order and apart from each other; the others lose all
+    of theirs if they have min_words words.
     """
     line = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.hash(x, F.lit(7)).alias("h2"), word_count(x).alias("words"))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), F.transform(_lines(F.col("text")), line).alias("lines")).withColumn("n_lines", F.size("lines").cast("long")).withColumn("words", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["words"]))
-    rows = stage(rows, "line-ids")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("nth")]
-    narrow = rows.drop("lines").withColumn("nth", _nth())
-    axis = running_sums(narrow, [], order, {"end": F.col("n_lines"), "words_end": F.col("words")}, "axis").withColumn("begin", F.col("end") - F.col("n_lines"))
-    axis = stage(axis.withColumn("before", F.col("words_end") - F.col("words")).drop("words", "words_end"), "axis")
-    each = rows.select("doc_id", "h", "lines").withColumn("nth", _nth()).drop("doc_id")
-    each = _by_row(each, axis.select("h", "nth", "begin", "end", "before"), "inner")
-    each = each.select("h", "nth", "begin", "end", "before", F.posexplode("lines").alias("i", "x")).select("*", "x.*").drop("x")
-    # words before each line, from those before its document; dealt out as the join was
-    so_far = F.sum("words").over(Window.partitionBy("h", "nth").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    lines = stage(each.withColumn("w", F.col("before") + so_far - F.col("words")).select((F.col("begin") + F.col("i")).alias("pos"), "begin", "end", "h1", "h2", "w", "words"), "lines")
-    levels, last, words = suffix_ranks(lines)
-    array = stage(running_sums(last, [], [F.col("rank"), F.col("pos")], {"n": F.lit(1)}, "array"), "array")
-    follow = array.select((F.col("n") + 1).alias("n"), F.col("pos").alias("a"), F.col("end").alias("a_end"))
-    pairs = array.select("n", F.col("pos").alias("b"), F.col("end").alias("b_end")).join(follow, "n").select("a", "a_end", "b", "b_end")
-    lcp = common_prefixes(pairs, levels, "lcp")
-    # words of the common prefix: up to its last line, and of that line
-    until = words.select((F.col("pos") + 1).alias("upto"), (F.col("w") + F.col("words")).alias("w1"))
-    enough = lcp.withColumn("upto", F.col("b") + F.col("lcp")).join(until, "upto").join(words.select(F.col("pos").alias("b"), F.col("w").alias("w0")), "b").where(F.col("w1") - F.col("w0") >= min_words).select("a", "b", "lcp")
-    enough = stage(enough, "enough")
-    marked = array.join(enough.select("b", F.lit(0).alias("joins")), array["pos"] == F.col("b"), "left").select("pos", "end", "n", F.coalesce("joins", F.lit(1)).alias("starts"))
-    inside = stage(running_sums(marked, [], [F.col("n")], {"interval": F.col("starts")}, "intervals"), "intervals")
-    agreed = longest_earlier(enough, inside, levels).join(words.select("pos", "begin"), "pos")
-    spans = agreed.select("begin", (F.col("pos") - F.col("begin")).alias("s"), (F.col("pos") - F.col("begin") + F.col("lcp")).alias("e"))
-    # a document's own spans, joined where they touch
-    by_start = Window.partitionBy("begin").orderBy("s", "e")
-    reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("new", F.coalesce((F.col("s") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = islands.groupBy("begin", "island").agg(F.min("s").alias("first"), (F.max("e") - 1).alias("last")).select("begin", "first", "last")
-    return axis.select("doc_id", "h", "nth", "n_lines", "begin"), runs
+    k1, k2 = row_key(docs, ["doc_id", "text"])
+    rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.transform(_lines(F.col("text")), line).alias("lines"))
+    rows = rows.withColumn("words", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["words"])).where(F.col("words") >= min_words)
+    with passing(docs.sparkSession):
+        # written, so that the numbers stay
+        rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "line-ids")
+        lines = rows.select("row", F.posexplode("lines").alias("i", "x")).select("row", "i", "x.*")
+        known = stage(stretches(lines, min_words), "stretches")
+        runs = stage(shortest_runs(known, min_words), "runs")
+        levels = doubled_ranks(known, runs).select("row", F.col("i").alias("at"), "k", "rank")
+        told = runs.withColumn("k", F.length(F.bin("n")) - 1)
+        for name, at in (("r1", F.col("i")), ("r2", F.expr("cast(i + n - shiftleft(1, k) as int)"))):
+            told = told.withColumn("at", at).join(levels.withColumnRenamed("rank", name), ["row", "at", "k"]).drop("at")
+        # the suffix array: runs by rank, then by position; in each interval the first one stays
+        order = [F.col("doc_id").asc_nulls_first(), F.col("k1"), F.col("row"), F.col("i")]
+        array = told.join(rows.select("row", "doc_id", "k1"), "row").select("row", "doc_id", "k1", "i", "n", "r1", "r2")
+        array = running_sums(stage(array, "array"), ["n", "r1", "r2"], order, {"nth": F.lit(1)}, "array")
+        later = array.where("nth > 1").select("row", "i", (F.col("i") + F.col("n")).alias("e"))
+        # those of a row, joined where they touch
+        by_start = Window.partitionBy("row").orderBy("i", "e")
+        reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+        islands = later.withColumn("new", F.coalesce((F.col("i") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+        spans = islands.groupBy("row", "island").agg(F.min("i").alias("first"), (F.max("e") - 1).alias("last"))
+        cuts = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cuts"), F.sum(F.col("last") - F.col("first") + 1).alias("n_removed"))
+        copies = rows.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+        found = copies.join(cuts, "row", "left").where("copies > 1 or cuts is not null")
+        return stage(found.select("k1", "k2", "copies", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "cuts"), "cuts", keep=True)
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs, the text without later copies of repeated runs, and n_lines and n_removed.
 
     Lines end at line feeds and are equal byte for byte; a run counts if it has at least min_words words
-    (between ASCII white space), in one document or several. Order is that of doc_id, nulls first, then of a
-    hash of the text. Null texts stay null, with one line and none removed; so are empty ones. Repeated
-    rows are copies like any other. An empty table gives an empty result. A text of which everything is
-    removed is empty.
+    (between ASCII white space), in one document or several. Every later occurrence loses the lines of its
+    longest match with any earlier one, even where that overlaps itself or is cut itself: a line over and
+    over stays once, and what is left may be the rest of runs that began elsewhere. Order is that of
+    doc_id, nulls first, then of a hash of the row. Null texts stay null, with one line and none removed;
+    so are empty ones. Repeated rows are copies like any other: of those that agree in doc_id and text one
+    is the first, whichever. An empty table gives an empty result. A text of which everything is removed
+    is empty. Where docs has a column of the name n_lines or n_removed, the new one gets a leading "_".
     """
-    for n in ("h", "nth", "n_lines", "n_removed"):
-        if n in docs.columns:
-            raise ValueError(f"a column {n} is in the way")
-    where, runs = repeated_runs(docs, min_words)
+    if min_words < 1:
+        raise ValueError("a run has at least one word")
+    runs = repeated_runs(docs, min_words)
+    a, b, cuts, removed, copies, nth, number = (free_name(docs, c) for c in ("_k1", "_k2", "_cuts", "_removed", "_copies", "_nth", "_number"))
+    k1, k2 = row_key(docs, ["doc_id", "text"])
+    found = runs.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("copies").alias(copies), F.col("n_removed").alias(removed), F.col("cuts").alias(cuts))
+    # rows with too few words for a run stay where they are
+    few = F.coalesce(word_count(F.col("text")), F.lit(0)) < min_words
+    rows = docs.where(~few).withColumns({a: k1, b: k2})
+    # rows that occur so often that one task should not number them: fewer than HOT_KEYS
+    bound = (runs.agg(F.sum("copies")).first()[0] or 0) // HOT_KEYS + HOT_ROWS
+    hot = found.where(F.col(copies) > bound)
+    parts = []
+    if some := hot.select(a, b).collect():
+        keys = F.broadcast(docs.sparkSession.createDataFrame(some, rows.select(a, b).schema))
+        often = stage(rows.join(keys, [a, b], "left_semi").withColumn(number, F.monotonically_increasing_id()), "often")
+        first = often.groupBy(a, b).agg(F.min(number).alias(number)).withColumn(nth, F.lit(1)).drop(a, b)
+        parts.append(often.join(F.broadcast(first), number, "left").withColumn(nth, F.coalesce(nth, F.lit(2))).drop(number).join(F.broadcast(hot), [a, b]))
+        rows = rows.join(keys, [a, b], "left_anti")
+    numbered = rows.withColumn(nth, F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(1))))
     # documents with cuts grow with the input: one plan at every size
-    cuts = runs.groupBy("begin").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_cuts"), F.sum(F.col("last") - F.col("first") + 1).alias("n_removed"))
-    found = where.join(cuts, "begin").select("h", "nth", "n_removed", "_cuts")
-    rows = docs.select("*", F.xxhash64("doc_id", "text").alias("h")).withColumn("nth", _nth())
-    both = _by_row(rows, found.hint("merge"), "left")
+    parts.insert(0, numbered.join(found.hint("merge"), [a, b], "left"))
+    both = reduce(DataFrame.unionByName, parts)
     # between two cuts the lines stay: slices, not a test of each line against each cut
     lines = _lines(F.col("text"))
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda c: c["last"] + 1))
-    ends = F.concat(F.transform("_cuts", lambda c: c["first"]), F.array(F.size(lines).cast("long")))
-    kept = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(lines, (s + 1).cast("int"), (e - s).cast("int"))))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    counts = {"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce("n_removed", F.lit(0)).cast("long")}
-    return both.withColumns(counts).withColumn("text", text).select(*docs.columns, "n_lines", "n_removed")
+    starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["last"] + 1))
+    ends = F.concat(F.transform(cuts, lambda c: c["first"]), F.array(F.size(lines)))
+    kept = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(lines, s + 1, e - s)))
+    text = F.when(F.col(nth) > 1, F.lit("")).when(F.col(cuts).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines, n_removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
+    size = F.size(lines).cast("long")
+    cut = both.withColumns({n_lines: size, n_removed: F.when(F.col(nth) > 1, size).otherwise(F.coalesce(removed, F.lit(0)).cast("long"))}).withColumn("text", text)
+    plain = docs.where(few).withColumns({n_lines: size, n_removed: F.lit(0).cast("long")})
+    names = [*docs.columns, n_lines, n_removed]
+    return cut.select(*[F.col(f"`{c}`") for c in names]).unionByName(plain.select(*[F.col(f"`{c}`") for c in names]))
