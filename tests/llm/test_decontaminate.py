@@ -2,8 +2,11 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from kinfold.llm import decontaminate as D
 from kinfold.llm import queries as Q
+from kinfold.llm.common import stage
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -69,3 +72,31 @@ def test_native_plan(spark):
     a = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     plan = D.contaminations(a, a.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_fingerprints(spark):
+    rng = random.Random(9)
+    rows = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 7, 300)]
+    got = spark.createDataFrame([(r,) for r in rows], "h array<long>").select(D._fingerprint("h").alias("fp")).collect()
+    for r, g in zip(rows, got):
+        want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in r) * 2 > len(r))
+        assert g.fp % (1 << 64) == want
+
+
+def test_candidates_are_pairs_that_share_a_shingle(spark, monkeypatch):
+    """The index is asked for a window's own items: pairs do not grow with windows times items, and passes do not change them."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(60)]
+    docs = [(k, " ".join([word(), *items[k % 60][1].split()[: 40 if k % 2 else 8], word()])) for k in range(240)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    own, spots = D.indexed(b)
+    windows = D.proposed(a, spots)
+    marked = stage(windows.withColumn("w", F.split("window", " ")).withColumn("shingles", D._shingles("w", F.col("length"))), "shingles")
+    marked = stage(marked.withColumn("fp", D._fingerprint("shingles")), "fingerprints")
+    # 120 copies, and those of the 120 windows with a tenth of the shingles in common that are as near by chance
+    assert 120 <= D.candidates(marked, own).count() < windows.count() <= 240
+    want = sorted(map(tuple, D.contaminations(a, b).collect()))
+    assert [w[:2] for w in want] == [(k, k % 60) for k in range(1, 240, 2)]
+    monkeypatch.setattr(D, "INDEX_ROWS", 500)
+    assert sorted(map(tuple, D.contaminations(a, b).collect())) == want

