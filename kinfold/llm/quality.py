@@ -185,12 +185,14 @@ def fit(described: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     """Fit on at most sample_rows labelled rows that are not held out, taken in the order of a hash of their ids.
 
     labels: doc_id, quality. Rows with a null id or label are ignored; a doc_id with several labels takes
-    the lowest.
+    the lowest. Where ids have more rows than that, as many different ones are taken in the order of a hash
+    of id and statistics.
     """
     known = labels.where("doc_id is not null and quality is not null").where(~is_held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = bounded_sample(known, sample_rows)
     # at most sample_rows ids: a bounded broadcast
-    rows = described.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "stats"]).toPandas().sort_values("doc_id", kind="stable")
+    rows = described.join(F.broadcast(sample), "doc_id").withColumn("h", F.xxhash64("stats")).dropDuplicates(["doc_id", "h"])
+    rows = bounded_sample(rows, sample_rows, "doc_id", "h").toPandas().sort_values(["doc_id", "h"], kind="stable")
     x = np.array(rows["stats"].tolist(), np.float32).reshape(-1, len(NAMES))
     return train(x, (rows["quality"].to_numpy() > 0).astype(float))
 

@@ -90,13 +90,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """Fit on at most sample_rows labelled texts that are not held out, taken in the order of a hash of their ids.
 
     labels: doc_id, toxic. Rows with a null id or label are ignored; a doc_id with several labels takes
-    the highest. Without both labels in the sample the score is their share, or 0.5.
+    the highest. Where ids have so many rows that their texts are more than sample_rows, as many different
+    ones are taken in the order of a hash of id and text. Without both labels in the sample the score is
+    their share, or 0.5.
     """
     python_ready(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = bounded_sample(known, sample_rows)
     # at most sample_rows ids: a bounded broadcast, and the only texts that move
-    texts = stage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "labelled")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "h", F.col("toxic").cast("int").alias("toxic"))
+    texts = stage(rows, "labelled")
+    if texts.count() > sample_rows:
+        some = bounded_sample(texts.select("doc_id", "h").distinct(), sample_rows, "doc_id", "h")
+        texts = stage(texts.join(F.broadcast(some), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "h", "toxic"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << HASH_BITS), np.int64)
@@ -129,9 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [x[x >= 0] for x in (place[g] for g in _each(batch.column("text")))]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "toxic", "grams"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("h"), batch.column("toxic"), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "h", "toxic", "grams"])
 
-    rows = texts.mapInArrow(active, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, grams array<long>").toPandas().sort_values("doc_id", kind="stable")
+    # at most sample_rows rows
+    rows = texts.mapInArrow(active, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, toxic int, grams array<long>").toPandas().sort_values(["doc_id", "h"], kind="stable")
     w, bias = fit_logistic([np.sort(np.asarray(x, np.int64)) for x in rows["grams"]], (rows["toxic"].to_numpy() > 0).astype(float), ratio[best])
     weights[best] = w * ratio[best]
     return Model(weights, bias)

@@ -69,3 +69,18 @@ def test_additive_model_learns_an_interaction():
     y = ((x[:, 2] > 0.5) ^ (x[:, 7] > 0.5)).astype(float)
     model = quality.train(x[:3000], y[:3000])
     assert (2, 7) in model.pairs and ((model.logits(x[3000:]) > 0) == y[3000:]).mean() > 0.85
+
+
+def test_an_id_with_many_rows_stays_within_the_sample(spark, monkeypatch):
+    """Whatever rows a few labelled ids have, no more than sample_rows of them reach the driver."""
+    rows = [(1 + k % 2, f"{'bad awful' if k % 2 else 'good kind'} words {k // 4}") for k in range(2000)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit_logistic, train = toxicity.fit_logistic, quality.train
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda items, *a: seen.append(len(items)) or fit_logistic(items, *a))
+    monkeypatch.setattr(quality, "train", lambda x, y: seen.append(len(x)) or train(x, y))
+    model = toxicity.fit(docs, known, sample_rows=100)
+    quality.fit(quality.describe(docs), known, sample_rows=100)
+    assert seen[0] == 100 and 2 <= seen[1] <= 100
+    score = {r.doc_id: r.score for r in toxicity.score(docs.limit(2), model).collect()}
+    assert score[2] > 0.5 > score[1]
