@@ -21,6 +21,7 @@ def test_query_equals_sql(spark, monkeypatch):
     want = sorted(con.sql(Q.ORACLE["op3_block_pruned_top_k"]).fetchall())
     assert sorted(map(tuple, Q.op3_block_pruned_top_k(spark, d).collect())) == want
     monkeypatch.setattr(topk, "SLICE", 100)
+    monkeypatch.setattr(topk, "PIVOTS", 8)
     monkeypatch.setattr(topk, "GROUP", 7)
     monkeypatch.setattr(topk, "BLOCK", 16)
     assert sorted(map(tuple, Q.op3_block_pruned_top_k(spark, d).collect())) == want
@@ -46,9 +47,24 @@ def test_vectors_left_out(spark):
 
 
 def test_blocks_are_pruned():
-    d = np.zeros((2048, 8), np.int64)
+    d = np.zeros((8 * topk.BLOCK, 8), np.int64)
     for c in range(8):
-        d[c * 256 : (c + 1) * 256, c] = 50
-    ids, q = np.arange(2048), np.eye(8, dtype=np.int64)
+        d[c * topk.BLOCK : (c + 1) * topk.BLOCK, c] = 50
+    ids, q = np.arange(len(d)), np.eye(8, dtype=np.int64)
     *_, scored = topk.search_slice(ids, d, np.arange(10_000, 10_008), q, np.full(8, -(1 << 63)), 20)
     assert scored == 8
+
+
+def test_clusters_are_pruned(spark, monkeypatch):
+    """Vectors around 40 centres in no order: few blocks are scored, few slices are asked, and the result is that of all scores."""
+    monkeypatch.setattr(topk, "SLICE", 256)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16)) * 60
+    v = (centres[rng.integers(0, 40, 1600)] + rng.standard_normal((1600, 16)) * 3).astype(int)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    report = {}
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), 10, report).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute(rows, 10, 20)
+    assert report["pairs"] == 80 * 100 and report["scored"].value < 0.2 * report["pairs"]
