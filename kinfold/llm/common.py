@@ -98,8 +98,9 @@ def hot_join(rows: DataFrame, table: DataFrame, key: list[str], counts: DataFram
     """rows joined to table, which has one row a key, however many rows one key has. A null key meets nothing.
 
     Keys with more than 1 / HOT_KEYS of all rows are fewer than HOT_KEYS: their entries are broadcast, and
-    their rows stay where they are. All others are joined by shuffling. counts (key, n) saves counting the
-    keys of rows. Both tables should be written ones: they are read twice. how: inner or left.
+    their rows stay where they are. All others are joined by shuffling. The most frequent key counts as one
+    of the first kind, so that tables of more than HOT_ROWS rows have one plan. counts (key, n) saves
+    counting the keys of rows. Both tables should be written ones: they are read twice. how: inner or left.
     """
     if counts is None:
         counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
@@ -107,20 +108,19 @@ def hot_join(rows: DataFrame, table: DataFrame, key: list[str], counts: DataFram
     bound = max(HOT_ROWS, total // HOT_KEYS)
     for k in key:
         some = some & F.col(k).isNotNull()
-    # fewer than HOT_KEYS rows
-    hot = counts.where(some).where(F.col("n") > bound).select(*key).collect() if total > bound else []
-    names = [*rows.columns, *[c for c in table.columns if c not in key]]
-    plain = rows.join(table, key, how).select(*names) if how == "inner" else None
+    hot = []
+    if total > HOT_ROWS:
+        # fewer than HOT_KEYS rows, or one
+        hot = counts.where(some).where(F.col("n") > bound).select(*key).collect() or counts.where(some).orderBy(F.desc("n"), *key).select(*key).limit(1).collect()
+    names, nulls = [*rows.columns, *[c for c in table.columns if c not in key]], rows.where(~some)
     if not hot:
-        return plain if how == "inner" else rows.where(some).join(table, key, how).select(*names).unionByName(rows.where(~some), allowMissingColumns=True)
-    keys = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*key).schema))
-    spread = rows.join(F.broadcast(table.join(keys, key, "left_semi")), key, how)
-    if how == "left":
-        spread = spread.join(keys, key, "left_semi")
-        rest = rows.where(some).join(keys, key, "left_anti").join(table, key, how).select(*names).unionByName(rows.where(~some), allowMissingColumns=True)
+        joined = rows.where(some).join(table, key, how).select(*names)
     else:
-        rest = rows.join(keys, key, "left_anti").join(table, key)
-    return spread.select(*names).unionByName(rest.select(*names))
+        keys = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*key).schema))
+        entries = keys.join(table, key, how) if how == "left" else table.join(keys, key, "left_semi")
+        spread = rows.join(F.broadcast(entries), key)
+        joined = spread.select(*names).unionByName(rows.where(some).join(keys, key, "left_anti").join(table, key, how).select(*names))
+    return joined if how == "inner" else joined.unionByName(nulls, allowMissingColumns=True)
 
 
 _shipped: set[str] = set()

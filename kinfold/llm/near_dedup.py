@@ -26,8 +26,8 @@ from kinfold.llm.common import hot_join, mix, passing, python_ready, shingle_has
 from kinfold.llm.components import components
 from kinfold.llm.running import running_sums
 
-#: Shingles of the members that a task compares with those of as many others at once.
-BLOCK = 250_000
+#: Shingles of the members that a task compares with those of as many others at once; a member counts as MEMBER of them at least.
+BLOCK, MEMBER = 250_000, 250
 _PART = 8192
 
 
@@ -199,7 +199,7 @@ def _rest(members: DataFrame, shared: DataFrame, node: DataFrame, part: DataFram
     sizes = m.groupBy("band", "component").agg(F.count("*").alias("k"))
     main = stage(sizes.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"), "main")
     m = stage(hot_join(m, main, ["band"], shared), "mixed")
-    blocked = lambda df, name: running_sums(df, ["band"], [F.col("n"), F.col("node")], {"upto": F.col("n")}, "blocks").select("band", "node", "n", "component", F.expr(f"cast((upto - n) div {BLOCK} as int)").alias(name))
+    blocked = lambda df, name: running_sums(df, ["band"], [F.col("n"), F.col("node")], {"upto": F.greatest("n", F.lit(MEMBER))}, "blocks").select("band", "node", "n", "component", F.expr(f"cast((upto - 1) div {BLOCK} as int)").alias(name))
     every, odd = stage(blocked(m.drop("main"), "y"), "blocks"), stage(blocked(m.where("component <> main").drop("main"), "x"), "blocks")
     last = lambda df, b: df.groupBy("band").agg(F.max(b).alias("most"))
     met = lambda df, b, other: hot_join(df, last(other, b), ["band"], shared).withColumn(b, F.explode(F.sequence(F.lit(0), F.col("most")))).drop("most")

@@ -2,9 +2,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from kinfold.llm import common
 from kinfold.llm.common import shingle_hashes, text_chunks, word_count, word_hashes
 from kinfold.llm.components import components
 from kinfold.llm.running import running_sums
@@ -65,3 +67,47 @@ def test_running_sums(spark):
     got = running_sums(df.repartition(5), ["k"], [F.col("o")], {"s": F.col("x"), "n": F.lit(1)}, "t").collect()
     want = {("hot", i): (sum(j % 7 for j in range(i + 1)), i + 1) for i in range(500)} | {("b", 1): (5, 1), ("b", 3): (6, 2)}
     assert {(r.k, r.o): (r.s, r.n) for r in got} == want
+
+
+@pytest.mark.parametrize("bound", [3, 10**6])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_join_equals_join(spark, monkeypatch, bound, how):
+    monkeypatch.setattr(common, "HOT_ROWS", bound)
+    rows = spark.createDataFrame([("hot", i) for i in range(50)] + [("gone", i) for i in range(9)] + [("b", 1), ("c", 2), (None, 3)], "k string, x int")
+    table = spark.createDataFrame([("hot", 1.0), ("b", 2.0), ("unmet", 3.0)], "k string, y double")
+    got = common.hot_join(rows, table, ["k"], how=how)
+    want = rows.join(table, "k", how)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert common.hot_join(rows.limit(0), table, ["k"], how=how).count() == 0
+
+
+def test_names_that_are_free_and_keys_of_rows(spark):
+    df = spark.createDataFrame([(1, None, {"a": 1}), (1, "", {"a": 2}), (1, None, {"a": 1})], "_K1 int, t string, m map<string,int>")
+    assert common.free_name(df, "_k1") == "__k1" and common.free_name(df, "x") == "x"
+    keys = [tuple(r) for r in df.select(*common.row_key(df)).collect()]
+    assert keys[0] == keys[2] != keys[1]
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from pathlib import Path
+
+    with common.passing(spark):
+        common.stage(spark.range(3), "gone", str(tmp_path / "gone"))
+        with common.passing(spark):
+            kept = common.stage(spark.range(4), "kept", str(tmp_path / "kept"), keep=True)
+        assert kept.count() == 4 and (tmp_path / "gone").exists()
+    assert not Path(tmp_path / "gone").exists() and not Path(tmp_path / "kept").exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: self
+        get = lambda self, key: None
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
