@@ -91,6 +91,9 @@ def main(argv: list[str] | None = None, session=None) -> int:
         return 1
     if session is None:
         engine.stop.install()
+    if c.replication.enabled and engine.health is None:
+        log.error("replication is enabled, and this command has no reader for the state of its servers")
+        return 1
     flags = {"force": a.force, "skip_preflight": a.skip_validate_preflight}
     if a.command != "copy-only":
         flags["force_triggers"] = a.force_triggers

@@ -199,8 +199,8 @@ def errors_of(c: Config) -> list[tuple[str, str]]:
             must(bool(IDENTIFIER.match(value)), where, "must contain only letters, digits and underscores")
 
     for side, store in (("source", c.source), ("destination", c.destination)):
-        must(bool(store.path or store.jdbc_host), f"{side}.path", "a path or a jdbc_host is required")
-        must(0 < store.port <= 65535, f"{side}.port", "port must be between 1 and 65535")
+        must(bool(store.path), f"{side}.path", "a path is required; tables of a server are loaded into a store first (sources.jdbc)")
+        must(0 < store.port <= 65535, f"{side}.port", "not a TCP port (1 to 65535)")
         must(store.tls in (*TLS, ""), f"{side}.tls", f"tls must be one of {', '.join(TLS)}")
         if store.jdbc_host:
             must(bool(store.user), f"{side}.user", "user is required")
@@ -218,7 +218,7 @@ def errors_of(c: Config) -> list[tuple[str, str]]:
         must(bool(s.host), f"{at}.host", "host is required")
         must(not re.search(r"[\r\n]", s.host), f"{at}.host", "host must not hold a line break")
         must(bool(s.user), f"{at}.user", "user is required")
-        must(1 <= s.port <= 65535, f"{at}.port", "port must be between 1 and 65535")
+        must(1 <= s.port <= 65535, f"{at}.port", "not a TCP port (1 to 65535)")
         must(s.address not in seen, at, f"duplicate server {s.address!r}")
         seen.add(s.address)
         must(s.type == "async", f"{at}.type", f"unsupported type {s.type!r}; supported: async")
@@ -227,7 +227,7 @@ def errors_of(c: Config) -> list[tuple[str, str]]:
             out.append((f"{at}.channels", f"duplicate channel {ch or '<default>'!r}"))
     for key in c.removed:
         out.append((key, "was removed; use the replication block"))
-    must(bool(c.jobs), "jobs", "at least one job must be defined")
+    must(bool(c.jobs), "jobs", "there is no job")
 
     def relation(rel: Relation, at: str, depth: int) -> None:
         if depth > MAX_DEPTH:

@@ -128,6 +128,8 @@ class Engine:
 
     def _run(self, job: str, kind: str, force: bool = False, skip_preflight: bool = False, force_triggers: bool = False) -> Stats:
         validate(self.config)
+        if self.config.replication.enabled and self.health is None:
+            raise PreflightError("REPLICATION_CHECK", [Finding("REPLICATION_CHECK", "fatal", "", "replication is enabled, and nothing reads the state of its servers: give the engine a HealthGate")])
         if not skip_preflight:
             profile = {"archive": FULL, "copy-only": NON_DESTRUCTIVE, "purge": SOURCE_ONLY}[kind]
             for w in self.preflight(job, profile, force_triggers, kind != "copy-only").run():
@@ -330,6 +332,8 @@ class _Run:
             if gone:
                 # all tables at once: a part of the delete cannot be seen
                 e.source.commit(gone)
+                if self.processing.delete_sleep_seconds:
+                    e.sleep(self.processing.delete_sleep_seconds)
                 if many := [t for t in gone if e.source.events(t) > MANY]:
                     e.source.compact(*many)
         e.step("complete")

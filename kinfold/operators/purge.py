@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators.closure import Keys
+from kinfold.operators.closure import Keys, numbered
 
 
 def remaining(table: DataFrame, keys: Keys) -> DataFrame:
@@ -14,8 +14,8 @@ def remaining(table: DataFrame, keys: Keys) -> DataFrame:
 
 def delete_chunks(keys: DataFrame, key: str, size: int, table: str) -> DataFrame:
     """table, chunk, rows of a delete in chunks of a size. Chunks are told apart by the order of keys; needed for pacing reports only."""
-    number = F.floor((F.row_number().over(Window.partitionBy("table").orderBy(key)) - 1) / size).cast("long")
-    return keys.withColumn("table", F.lit(table)).withColumn("chunk", number).groupBy("table", "chunk").agg(F.count("*").alias("rows"))
+    chunk = F.floor((F.col("i") - 1) / size).cast("long").alias("chunk")
+    return numbered(keys.select(key), key).groupBy(chunk).agg(F.count("*").alias("rows")).select(F.lit(table).alias("table"), "chunk", "rows")
 
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame:

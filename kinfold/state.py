@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators.closure import numbered
@@ -51,15 +51,16 @@ def replay_positions(log: DataFrame) -> DataFrame:
 def recovery_runs(log: DataFrame) -> DataFrame:
     """run, status, rows, first_key, last_key: copied and pending keys as ascending runs of one status.
 
-    Two neighbours belong to one run if no key of the other status lies between them: gaps and islands.
-    The set of unfinished keys is bounded by the batches in flight when a run broke off, not by the table.
+    Two neighbours belong to one run if no key of the other status lies between them: gaps and islands. The
+    places of a key among all keys and among those of its status grow together along a run, so that runs are
+    groups of one difference; places are counted in ranges, not in one task.
     """
     key = F.col("root_key").cast("decimal(20,0)")
     rows = log.filter(F.col("status").isin(PENDING, COPIED)).select(key.alias("k"), "status")
-    w = Window.orderBy("k")
-    change = (~F.col("status").eqNullSafe(F.lag("status").over(w))).cast("int")
-    runs = rows.withColumn("change", change).withColumn("run", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("run").agg(F.first("status").alias("status"), F.count("*").alias("rows"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
+    placed = numbered(rows, "k").withColumnRenamed("i", "place")
+    each = [numbered(placed.filter(F.col("status") == s), "k") for s in (PENDING, COPIED)]
+    runs = each[0].unionByName(each[1]).groupBy("status", (F.col("place") - F.col("i")).alias("d")).agg(F.count("*").alias("rows"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
+    return numbered(runs.drop("d"), "first_key").select(F.col("i").alias("run"), "status", "rows", "first_key", "last_key")
 
 
 def nonterminal(log: DataFrame) -> DataFrame:

@@ -254,3 +254,27 @@ def test_cli(world, tmp_path, capsys, spark):
     assert run("copy-only", "-j", "j") == 0 and ids(dst, "customers") == [1, 2]
     assert "done" in (tmp_path / "log").read_text() and "copy order" in capsys.readouterr().out
     assert log_name("a b") == "_log_a_b"
+
+
+def test_replication_without_a_reader_is_refused(world):
+    """A gate that cannot look holds the job; nothing is moved."""
+    src, dst, engine = world
+    e = engine(replication={"enabled": True, "servers": [{"host": "h", "user": "u"}]})
+    with pytest.raises(PreflightError, match="REPLICATION_CHECK"):
+        e.archive("j")
+    assert dst.jobs() == {} and ids(src, "customers") == list(range(1, 9))
+
+
+def test_a_server_is_no_store():
+    from kinfold.config import errors_of
+
+    found = errors_of(parse({"source": {"jdbc_host": "h", "user": "u", "database": "d"}, "destination": {"path": "x"}, "jobs": {}}))
+    assert "source.path" in {where for where, _ in found}
+
+
+def test_deletes_are_paced(world):
+    src, dst, engine = world
+    e, pauses = engine(processing={"batch_size": 5, "sleep_seconds": 0, "delete_sleep_seconds": 0.25}), []
+    e.sleep = pauses.append
+    e.archive("j")
+    assert pauses == [0.25]
