@@ -27,7 +27,7 @@ from kinfold.llm.components import components
 from kinfold.llm.running import running_sums
 
 #: Shingles of the members that a task compares with those of as many others at once; a member counts as MEMBER of them at least.
-BLOCK, MEMBER = 250_000, 250
+BLOCK, MEMBER = 250_000, 500
 _PART = 8192
 
 
