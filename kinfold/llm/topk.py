@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import bounded_sample, python_ready, stage
+from kinfold.llm.running import running_sums
 
 #: Vectors in a block, in a slice, and queries in a group.
 BLOCK, SLICE, GROUP = 64, 8192, 2048
@@ -155,8 +156,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, report: dict | No
     # at most SAMPLE_ROWS vectors
     some = bounded_sample(vectors.select("vec_id", "v"), SAMPLE_ROWS, "vec_id").toPandas()
     pivots = pivot_order(_matrix(some["v"], width).astype(float), min(PIVOTS, max(1, n // BLOCK)))
-    by_place = placed(vectors, pivots, width).repartitionByRange(slices, "pivot", "near", "vec_id")
-    ranged = stage(by_place.withColumn("slice", F.spark_partition_id()), "slices")
+    # slices of SLICE vectors, whatever partitions the session has
+    by_place = running_sums(placed(vectors, pivots, width), [], [F.col("pivot"), F.col("near"), F.col("vec_id")], {"at": F.lit(1)}, "places")
+    ranged = stage(by_place.withColumn("slice", F.expr(f"cast((at - 1) div {SLICE} as int)")).drop("at"), "slices")
     # one row for each slice and pivot
     home = stage(ranged.groupBy("pivot", "slice").agg(F.count("*").alias("n")).groupBy("pivot").agg(F.max_by("slice", F.struct("n", "slice")).alias("slice")), "homes")
     grouped = stage(placed(queries, pivots, width).withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).drop("near"), "queries")
