@@ -156,6 +156,7 @@ class _Run:
         self.unique = {t: [[p if isinstance(p, str) else p["column"] for p in u["columns"]] for u in facts.tables[t].unique] if kind != "purge" and t in facts.tables else [] for t in self.graph.keys}
         self.strict = needs_strict(v.method, v.skip_verification, any(self.unique.values()))
         self.tracker, self.stats = Tracker(engine.destination, job), Stats()
+        self.held: list[DataFrame] = []
 
     def go(self) -> Stats:
         e, folder = self.e, self._lock_folder()
@@ -188,6 +189,7 @@ class _Run:
             ok = True
             return self.stats
         finally:
+            self._release()
             alive.stop()
             self.tracker.finish(ok)
             own.release()
@@ -200,14 +202,15 @@ class _Run:
     def _beat(self, lock: FileLock) -> None:
         if not lock.held():
             raise LockError("the lock file has another owner")
-        with self._committing():
-            self.tracker.heartbeat()
+        self.tracker.heartbeat()
 
-    def _committing(self):
-        import threading
+    def _hold(self, df: DataFrame) -> DataFrame:
+        self.held.append(df.persist())
+        return df
 
-        self.__dict__.setdefault("_mutex", threading.RLock())
-        return self._mutex
+    def _release(self, keep: int = 0) -> None:
+        while len(self.held) > keep:
+            self.held.pop().unpersist()
 
     def _check_same_root(self) -> None:
         for name, row in self.e.destination.jobs().items():
@@ -219,7 +222,7 @@ class _Run:
 
     def _recover(self) -> None:
         log = self.tracker.log()
-        failed, copied, pending = (log.filter(F.col("status") == s).persist() for s in (FAILED, COPIED, PENDING))
+        failed, copied, pending = (self._hold(log.filter(F.col("status") == s)) for s in (FAILED, COPIED, PENDING))
         some = lambda df: [r.root_key for r in replay_order(df).limit(PREVIEW).collect()]
         if first := some(failed):
             raise ResumeError(f"job {self.job!r} has failed root keys: set them to pending or completed first; for example {first}")
@@ -248,14 +251,15 @@ class _Run:
         kind = self.e.source.table(self.graph.root).schema[self.key].dataType
         typed = log.select(F.col("root_key").cast("decimal(20,0)").cast(kind).alias(self.key))
         while True:
-            batch = root_batch(typed, self.key, None, after, self.processing.batch_size).persist()
+            kept = len(self.held)
+            batch = self._hold(root_batch(typed, self.key, None, after, self.processing.batch_size))
             last = batch.agg(F.max(self.key)).first()[0]
             if last is None or not self._may_go_on():
                 return
             self._batch(batch, mode, int(last) if advance and (floor is None or int(last) > floor) else None)
             self.stats.replayed += batch.count()
             after = int(last)
-            batch.unpersist()
+            self._release(kept)
 
     # -- batches -------------------------------------------------------------------------------------
 
@@ -272,7 +276,8 @@ class _Run:
         e, first = self.e, True
         while not self.stats.stopped and self._may_go_on():
             root = e.source.table(self.graph.root)
-            batch = root_batch(root, self.key, self.spec.where, self.tracker.checkpoint, self.processing.batch_size).persist()
+            kept = len(self.held)
+            batch = self._hold(root_batch(root, self.key, self.spec.where, self.tracker.checkpoint, self.processing.batch_size))
             last = batch.agg(F.max(self.key)).first()[0]
             if last is None:
                 return
@@ -280,10 +285,9 @@ class _Run:
                 e.sleep(self.processing.sleep_seconds)
             first = False
             e.step("log pending")
-            with self._committing():
-                self.tracker.log_pending(batch)
+            self.tracker.log_pending(batch)
             self._batch(batch, self._mode(), int(last))
-            batch.unpersist()
+            self._release(kept)
 
     def _batch(self, roots: DataFrame, mode: str, checkpoint: int | None) -> None:
         """full: copy, verify, delete. copy: copy, verify. delete: the copies are there already, or none is wanted. promote: only complete."""
@@ -293,7 +297,7 @@ class _Run:
         source = {t: e.source.table(t) for t in g.keys}
         if mode != "promote":
             e.step("discover")
-            found = {t: Keys(k.column, k.rows.persist()) for t, k in closure(g, source, roots).items()}
+            found = {t: Keys(k.column, self._hold(k.rows)) for t, k in closure(g, source, roots).items()}
             # one row for each table
             sizes = {r.table: r.rows for r in table_counts(g, source, found).collect()}
             for t, n in sizes.items():
@@ -309,17 +313,15 @@ class _Run:
                     rows = strict_insert(t, incoming, existing, [key, *self.unique[t]])
                 else:
                     rows = insert_ignore(incoming, existing, key, self.unique[t])
-                changes[t] = Change(add=rows.persist())
-            with self._committing():
-                e.destination.commit(changes)
+                changes[t] = Change(add=self._hold(rows))
+            e.destination.commit(changes)
             added = reduce(DataFrame.union, [c.add.agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), "n") for t, c in changes.items()])
             for r in added.collect():
                 self.stats.count("copied", r.t, r.n)
             e.step("verify")
             self.stats.verified_tables += len(verify(self.method, found, source, {t: e.destination.table(t) for t in g.keys}, sizes))
             e.step("mark copied")
-            with self._committing():
-                self.tracker.mark(roots, COPIED)
+            self.tracker.mark(roots, COPIED)
         if mode in ("full", "delete"):
             e.step("delete")
             if e.health:
@@ -337,12 +339,11 @@ class _Run:
                 if many := [t for t in gone if e.source.events(t) > MANY]:
                     e.source.compact(*many)
         e.step("complete")
-        with self._committing():
-            self.tracker.mark(roots, COMPLETED, checkpoint=checkpoint)
-            if mode in ("full", "copy"):
-                many = [t for t in g.keys if e.destination.events(t) > MANY]
-                if many:
-                    e.destination.compact(*many)
+        self.tracker.mark(roots, COMPLETED, checkpoint=checkpoint)
+        if mode in ("full", "copy"):
+            many = [t for t in g.keys if e.destination.events(t) > MANY]
+            if many:
+                e.destination.compact(*many)
         n = roots.count()
         self.stats.roots += n
         self.stats.batches += 1
@@ -351,10 +352,6 @@ class _Run:
                 e.on_checkpoint(checkpoint, "completed")
             except Exception as x:  # noqa: BLE001  a report, not a part of the batch
                 self.e.log.warning("checkpoint callback failed: %s", x)
-        for c in changes.values():
-            c.add.unpersist()
-        for k in found.values():
-            k.rows.unpersist()
 
 
 __all__ = ["Engine", "Finding", "Stats", "batch_count", "plan_text"]

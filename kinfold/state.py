@@ -114,6 +114,11 @@ class Tracker:
             raise StoreError(f"job {self.job!r} is unknown")
         return row
 
+    @property
+    def _name(self) -> str:
+        """The job's name, if the store knows it."""
+        return self.row["job_name"]
+
     @property
     def checkpoint(self) -> int | None:
         return int(c) if (c := self.row["checkpoint"]) not in (None, "") else None
@@ -135,18 +140,18 @@ class Tracker:
 
     def mark(self, keys: DataFrame, status: int, changes: dict[str, Change] | None = None, checkpoint: int | None = None, error: str | None = None) -> None:
         """Set the status of keys, and with it commit changes of tables and the checkpoint, all at once."""
-        row = self.row | {"updated_at": time.time()} | ({} if checkpoint is None else {"checkpoint": str(checkpoint)})
-        self.store.commit((changes or {}) | {log_name(self.job): Change(add=self.events(keys, status, error))}, {self.job: row})
+        row = {"updated_at": time.time()} | ({} if checkpoint is None else {"checkpoint": str(checkpoint)})
+        self.store.commit((changes or {}) | {log_name(self.job): Change(add=self.events(keys, status, error))}, {self._name: row})
 
     def finish(self, ok: bool) -> None:
-        self.store.commit(jobs={self.job: self.row | {"job_status": IDLE if ok else JOB_FAILED, "updated_at": time.time()}})
+        self.store.commit(jobs={self._name: {"job_status": IDLE if ok else JOB_FAILED, "updated_at": time.time()}})
 
     def heartbeat(self) -> None:
-        self.store.commit(jobs={self.job: self.row | {"last_heartbeat_at": time.time()}})
+        self.store.commit(jobs={self._name: {"last_heartbeat_at": time.time()}})
 
     def should_resume(self) -> bool:
         return self.checkpoint is not None or not nonterminal(self.log()).isEmpty()
 
     def reset(self) -> None:
         """Forget the checkpoint, so that rows below it are looked at again."""
-        self.store.commit(jobs={self.job: self.row | {"checkpoint": None}})
+        self.store.commit(jobs={self._name: {"checkpoint": None}})

@@ -1,6 +1,7 @@
 """Whole commands on small stores, broken off between any two steps."""
 
 import datetime as dt
+import time
 
 import pytest
 
@@ -222,6 +223,53 @@ def test_store(world, spark):
         src.tables()
 
 
+def test_commits_of_two_writers(world, spark):
+    one = world[0]
+    two, row = Store(spark, one.root), lambda n: spark.createDataFrame([(n, 1, None)], SCHEMAS["orders"])
+    write = one._write
+
+    def meanwhile(act):
+        one._write = lambda *a: (act(), write(*a))[1]
+
+    before = one.version()
+    meanwhile(lambda: two.commit({"items": Change(delete=spark.createDataFrame([(1,)], "id long"))}, {"a": {"x": 1}}))
+    one.commit({"orders": Change(add=row(200))}, {"a": {"y": 2}})
+    assert one.version() == two.version() == before + 2 and two.job("a") == {"x": 1, "y": 2}
+    assert 200 in ids(two, "orders") and 1 not in ids(one, "items")
+    meanwhile(lambda: two.commit({"orders": Change(add=row(201))}))
+    for act in (lambda: one.commit({"orders": Change(add=row(202))}), lambda: one.compact("orders")):
+        with pytest.raises(StoreError, match="another writer"):
+            act()
+    assert 202 not in ids(one, "orders") and ids(one, "orders").count(201) == 2
+    # a writer that died after its version was made, and one that was slow to copy it
+    old, one._write = one._read_file("manifest.json"), write
+    two.commit(jobs={"b": {"x": 1}})
+    one._replace_file("manifest.json", old)
+    assert one.job("b") == {"x": 1} and one.version() == before + 5
+    assert not one._create_file(f"_versions/{one.version()}.json", "{}") and one.job("b") == {"x": 1}
+    one.commit(jobs={"b": {"x": 2}})
+    assert two.job("b") == {"x": 2} and two.version() == before + 6
+
+
+def test_heartbeats_go_on_while_a_copy_is_written(world, monkeypatch):
+    src, dst, engine = world
+    monkeypatch.setattr("kinfold.engine.HEARTBEAT_SECONDS", 0.1)
+    write, seen = dst._write, []
+
+    def slow(name, df):
+        if name == "orders":
+            beat, end = dst.job("j")["last_heartbeat_at"], time.time() + 20
+            while time.time() < end and dst.job("j")["last_heartbeat_at"] == beat:
+                time.sleep(0.05)
+            seen.append(dst.job("j")["last_heartbeat_at"] > beat)
+        return write(name, df)
+
+    dst._write = slow
+    engine().archive("j")
+    done(src, dst)
+    assert seen and all(seen)
+
+
 def test_follow(world, spark, tmp_path):
     from kinfold.graph import Graph
     from kinfold.streaming.follow import follow
