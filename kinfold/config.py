@@ -57,6 +57,7 @@ class Processing:
     batch_delete_size: int = 500
     sleep_seconds: float = 1
     delete_sleep_seconds: float = 0
+    max_batch_bytes: int = 0  # 0: no limit
     sentinel_file: str = ""
 
 
@@ -247,6 +248,7 @@ def errors_of(c: Config) -> list[tuple[str, str]]:
         must(p.batch_delete_size > 0, f"{at}.batch_delete_size", "must be positive")
         must(p.sleep_seconds >= 0, f"{at}.sleep_seconds", "cannot be negative")
         must(p.delete_sleep_seconds >= 0, f"{at}.delete_sleep_seconds", "cannot be negative")
+        must(p.max_batch_bytes >= 0, f"{at}.max_batch_bytes", "cannot be negative")
 
     def logging(x: Logging, at: str) -> None:
         must(x.level in ("debug", "info", "warn", "error", ""), f"{at}.level", "must be 'debug', 'info', 'warn' or 'error'")

@@ -116,12 +116,12 @@ class Engine:
     def list_jobs(self) -> list[tuple[str, str, int]]:
         return [(n, j.root_table, len(graphs.build(j).keys) - 1) for n, j in sorted(self.config.jobs.items())]
 
-    def preflight(self, job: str, profile: str, force_triggers: bool = False, fk_visibility: bool = True) -> Preflight:
+    def preflight(self, job: str, profile: str, force_triggers: bool = False, fk_visibility: bool = True, deletes: bool = False) -> Preflight:
         c, v = self.config, self.config.job_verification(job)
         writable = lambda side: ":" in (root := (self.source if side == "source" else self.destination).root) or os.access(root if os.path.exists(root) else os.path.dirname(root) or ".", os.W_OK)
         return Preflight(
             graphs.build(c.job(job)), Catalog(self.source, c.catalog.get("source")), None if profile == SOURCE_ONLY else Catalog(self.destination, c.catalog.get("destination")), profile,
-            force_triggers, fk_visibility, v.method == "sha256" and not v.skip_verification, writable=writable, job_schema=c.destination.job_schema,
+            force_triggers, fk_visibility, deletes, v.method == "sha256" and not v.skip_verification, writable=writable, job_schema=c.destination.job_schema,
         )
 
     # -- one run -------------------------------------------------------------------------------------
@@ -132,11 +132,25 @@ class Engine:
             raise PreflightError("REPLICATION_CHECK", [Finding("REPLICATION_CHECK", "fatal", "", "replication is enabled, and nothing reads the state of its servers: give the engine a HealthGate")])
         if not skip_preflight:
             profile = {"archive": FULL, "copy-only": NON_DESTRUCTIVE, "purge": SOURCE_ONLY}[kind]
-            for w in self.preflight(job, profile, force_triggers, kind != "copy-only").run():
+            for w in self.preflight(job, profile, force_triggers, kind != "copy-only", kind != "copy-only").run():
                 self.log.warning("%s %s: %s", w.check, w.table, w.detail)
+        if kind != "purge":
+            self._check_payload(job)
         run = _Run(self, job, kind, force)
         return run.go()
 
+    def _check_payload(self, job: str) -> None:
+        """Refuse a batch whose projected rows of one table are larger than max_batch_bytes."""
+        g, j, p = graphs.build(self.config.job(job)), self.config.job(job), self.config.job_processing(job)
+        if not p.max_batch_bytes:
+            return
+        sizes = [payload(self.source.table(t), t, p.batch_size, g.keys[t], j.where if t == g.root else None) for t in g.copy_order()]
+        # one row for each table
+        over = reduce(DataFrame.union, sizes).filter(F.col("projected_bytes") > p.max_batch_bytes).collect()
+        if over:
+            what = "{} bytes projected for a batch of {}, the limit is {}; lower batch_size"
+            raise PreflightError("PAYLOAD_CHECK", [Finding("PAYLOAD_CHECK", "fatal", r.table, what.format(r.projected_bytes, p.batch_size, p.max_batch_bytes)) for r in over])
+
 
 def plan_text(config: Config, job: str) -> str:
     g, p = graphs.build(config.job(job)), config.job_processing(job)
@@ -222,6 +236,10 @@ class _Run:
 
     def _recover(self) -> None:
         log = self.tracker.log()
+        kind = self.e.source.table(self.graph.root).schema[self.key].dataType.simpleString()
+        unread = log.filter(F.col("status") != COMPLETED).filter(F.expr(f"root_key is null or not root_key rlike '^[+-]?[0-9]+$' or try_cast(try_cast(root_key as decimal(20,0)) as {kind}) is null"))
+        if bad := [r.root_key for r in unread.select("root_key").limit(PREVIEW).collect()]:
+            raise ResumeError(f"job {self.job!r} has unfinished root keys that are no {kind}; for example {bad}")
         failed, copied, pending = (self._hold(log.filter(F.col("status") == s)) for s in (FAILED, COPIED, PENDING))
         some = lambda df: [r.root_key for r in replay_order(df).limit(PREVIEW).collect()]
         if first := some(failed):

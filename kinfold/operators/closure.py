@@ -73,10 +73,6 @@ def table_counts(graph: Graph, tables: dict[str, DataFrame], found: dict[str, Ke
     return reduce(DataFrame.union, each)
 
 
-def closure_with_keys(root: DataFrame, key: str, where: str | None) -> DataFrame:
-    return root_batch(root, key, where)
-
-
 def numbered(rows: DataFrame, key: str) -> DataFrame:
     """rows with i, their place in the order of key from 1.
 

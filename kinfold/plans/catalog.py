@@ -52,6 +52,11 @@ class Catalog:
         """Whether all foreign keys are sure to be declared."""
         return bool(self.declared.get("complete", True))
 
+    def unseen(self, tables: list[str]) -> list[str]:
+        """Tables other than these whose foreign keys nothing is known of: all of them, where none are declared."""
+        known = "foreign_keys" in self.declared or self.declared.get("complete") is not None
+        return [] if known else sorted(self.tables.keys() - set(tables))
+
     @property
     def tables(self) -> dict[str, TableFacts]:
         def make() -> dict[str, TableFacts]:

@@ -41,6 +41,8 @@ class Preflight:
     profile: str = FULL
     force_triggers: bool = False
     fk_visibility: bool = True
+    #: Whether rows will be deleted now; a look ahead only warns where foreign keys may be unseen.
+    deletes: bool = False
     digest_verified: bool = False
     measure_keys: bool = True
     writable: Callable[[str], bool] = lambda side: True
@@ -141,6 +143,10 @@ class Preflight:
     def fk_visible(self) -> Iterator[Finding]:
         if self.fk_visibility and not self.source.complete:
             yield Finding("FK_COVERAGE_VISIBILITY_CHECK", "fatal", "", "not all foreign keys are sure to be declared")
+        if self.fk_visibility and (outside := self.source.unseen(list(self.graph.keys))):
+            found = Finding("FK_COVERAGE_VISIBILITY_CHECK", "fatal" if self.deletes else "warning", "", f"no foreign keys are declared, so {', '.join(outside)} may refer to the job's tables; archive and purge refuse that")
+            self.warnings += [] if self.deletes else [found]
+            yield found
 
     def fk_coverage(self) -> Iterator[Finding]:
         c = self.source

@@ -326,3 +326,39 @@ def test_deletes_are_paced(world):
     e.sleep = pauses.append
     e.archive("j")
     assert pauses == [0.25]
+
+
+def test_unseen_foreign_keys_are_refused(world):
+    """Where no foreign key is declared, a table outside of the job may refer to it: nothing is deleted."""
+    src, dst, engine = world
+    job = engine().config.jobs["j"].__dict__
+    few = {"jobs": {"k": job | {"relations": []}}}
+    for command in ("archive", "purge"):
+        with pytest.raises(PreflightError, match="FK_COVERAGE_VISIBILITY_CHECK.*items, orders, payments"):
+            getattr(engine(**few), command)("k")
+    warned = engine(**few).validate().filter("check = 'FK_COVERAGE_VISIBILITY_CHECK'").collect()
+    assert [r.ok for r in warned] == [True] and ids(src, "customers") == list(range(1, 9))
+    declared = {"catalog": {"source": {"foreign_keys": []}}}
+    assert engine(**few, **declared).archive("k").deleted == 5
+
+
+def test_projected_payload_is_limited(world):
+    src, dst, engine = world
+    small = {"processing": {"batch_size": 5, "sleep_seconds": 0, "max_batch_bytes": 10}}
+    with pytest.raises(PreflightError, match="PAYLOAD_CHECK.*lower batch_size"):
+        engine(**small).copy_only("j")
+    assert ids(dst, "customers") == []
+    small["processing"]["max_batch_bytes"] = 1 << 20
+    engine(**small).archive("j")
+    done(src, dst)
+
+
+def test_unreadable_root_keys_stop_a_resume(world):
+    src, dst, engine = world
+    t, bad = Tracker(dst, "j"), ["x7", "", "1.5", "99999999999999999999"]
+    t.open("customers", "archive")
+    t.mark(dst.spark.createDataFrame([(k,) for k in [*bad, "4"]], "id string"), PENDING)
+    t.finish(False)
+    with pytest.raises(ResumeError, match="no bigint") as e:
+        engine().archive("j", skip_preflight=True)
+    assert all(repr(k) in str(e.value) for k in bad) and "'4'" not in str(e.value) and ids(src, "customers") == list(range(1, 9))
