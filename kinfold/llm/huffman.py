@@ -13,6 +13,7 @@ Beside it a folder of (id, bits): the code lengths; canonical code words follow
 from __future__ import annotations
 
 import json
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,14 +34,30 @@ MAX_BITS = 18
 #: Words that a worker remembers the ids of.
 MEMORY = 800_000
 
+# The normalizer and the pre-tokenizer that pieces are known to be encoded alike by.
+_LOWER_CASE = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PIECES = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _letters(piece: str) -> bool:
+    """Whether the piece is letters alone, once normalized and in lower case: some capitals then end in a mark, which belongs to what follows."""
+    return piece.isalpha() and (piece.isascii() or unicodedata.normalize("NFC", piece).lower().isalpha())
+
+
 class WordEncoder(dict):
     """Whole texts to ids through the tokenizers library, each distinct word once while it is remembered.
 
-    Only for tokenizers that drop white space before they split, so that no token spans a space or a
-    line feed: the ids of a text are then those of its pieces between them, which this dictionary holds.
+    Word by word only with the normalizer and pre-tokenizer named above, which drop white space, so that no
+    token spans a space or a line feed: the ids of a text are then those of its pieces between them, which
+    this dictionary holds. With any others, whole texts go through the library.
     A piece of letters is one pre-token, so the library's model can encode it at once; a stop or comma
     after letters is a second one. Lower-casing comes first where it is certain to be the tokenizer's own
     (texts within Latin-1).
@@ -57,10 +74,9 @@ class WordEncoder(dict):
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype(self.code)
         spec = json.loads(self.tokenizer.to_str())
-        steps = spec["normalizer"]["normalizers"] if spec["normalizer"] else []
-        self.lower = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
-        split = [x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
-        self.by_word = bool(split) and split[0]["behavior"] == "Removed" and split[0]["invert"] and not any(x["lstrip"] or x["rstrip"] for x in spec["added_tokens"])
+        self.lower = spec["normalizer"] == _LOWER_CASE
+        plain = self.lower and spec["pre_tokenizer"] == _PIECES and spec["post_processor"] is None
+        self.by_word = plain and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in spec["added_tokens"])
         self.special = tuple(x["content"] for x in spec["added_tokens"])
         # byte-level alphabet: a printable Latin-1 byte is its own character, others follow from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -75,7 +91,7 @@ class WordEncoder(dict):
         plain = self.lower and word.isalpha() and word.islower() and (word.isascii() or max(word) < "\u0100")
         if plain:
             ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))]
-        elif word[-1] in ".," and word[:-1].isalpha():
+        elif word[-1] in ".," and _letters(word[:-1]):
             found = self[word] = self[word[:-1]] + self[word[-1]]
             return found
         else:

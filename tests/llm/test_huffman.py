@@ -1,5 +1,7 @@
+import json
 import zlib
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -32,12 +34,28 @@ ODD = st.text(st.sampled_from("aB'st.,é0 \n\t́İΣß<|>endoftext ẞ中\x1c\x
 @settings(max_examples=150, deadline=None)
 @given(st.lists(ODD, max_size=6))
 def test_words_make_whole_texts(texts):
-    texts = [*texts, "<|ENDOFTEXT|> x", "a <|endoftext|>b"]
+    texts = [*texts, "<|ENDOFTEXT|> x", "a <|endoftext|>b", "İ.", "stİ,", "\u0958. é. ẞ,"]
     e = huffman.encoder(Q.word_bpe())
     t = Tokenizer.from_file(Q.word_bpe())
     assert [x.tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_other_patterns_go_through_the_library(tmp_path):
+    """Steps of the same names with other patterns are no reason to encode word by word."""
+    spec = json.loads(Path(Q.word_bpe()).read_text())
+    assert huffman.encoder(Q.word_bpe()).by_word
+    replace, split = json.loads(json.dumps(spec)), json.loads(json.dumps(spec))
+    replace["normalizer"]["normalizers"][1] = {"type": "Replace", "pattern": {"Regex": "st"}, "content": " th"}
+    split["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "[a-z]+ ?[a-z]*|."}
+    for i, changed in enumerate((replace, split)):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(changed))
+        texts = ["first steps, at last.", "one two\nthree", "", "STOP 12 it's"]
+        own = huffman.encoder(str(path))
+        assert not own.by_word
+        assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in Tokenizer.from_file(str(path)).encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 10**6), min_size=1, max_size=300), st.integers(9, 18))
 def test_lengths_are_complete_and_limited(counts, limit):
