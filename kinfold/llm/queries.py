@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontaminate, huffman, line_dedup, mixing, near_dedup, preference, quality, sharding, topk, toxicity
-from kinfold.llm.common import is_held_out, read, scratch
+from kinfold.llm import centroids, decontaminate, huffman, line_dedup, mixing, near_dedup, parity_join, periodic, preference, quality, sharding, topk, toxicity
+from kinfold.llm.common import WORD, is_held_out, read, scratch
 
 
 def op1_preference_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +79,45 @@ def op10_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text: in a tenth of the documents, told by the crc32 of the id, the words from some place on repeat with some period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).alias("words"))
+    n = F.size("words")
+    placed = split.withColumn("a", F.when(n > 0, F.col("g") % F.greatest(n, F.lit(1))).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), n - F.col("a"))), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words in every document, and what is left of it with each run cut down to its first period."""
+    found = periodic.collapse_runs(with_planted_repeats(read(spark, sf_dir, "documents")), 24, 3)
+    # the greatest exponent exactly: fractions are compared crosswise; runs come by start, then period
+    best = F.aggregate("runs", F.element_at("runs", 1), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_table_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 16 clusters, after three rounds from hashed starts."""
+    found = centroids.cluster(read(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, seed=1)
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
+
+
+def op13_parity_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a similarity of 0.85 or more."""
+    return parity_join.jaccard_components(read(spark, sf_dir, "documents"), shingle=4, threshold=(85, 100))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_preference_segments, op2_huffman_token_ids, op3_block_pruned_top_k, op4_suffix_array_line_dedup, op5_systematic_mix, op6_minmax_near_dedup, op7_simhash_decontamination, op8_nb_ngram_toxicity, op9_additive_quality, op10_differencing_shards)
+    for f in (op1_preference_segments, op2_huffman_token_ids, op3_block_pruned_top_k, op4_suffix_array_line_dedup, op5_systematic_mix, op6_minmax_near_dedup, op7_simhash_decontamination, op8_nb_ngram_toxicity, op9_additive_quality, op10_differencing_shards, op11_periodic_runs, op12_table_centroids, op13_parity_jaccard_join)
 }
 
 ORACLE: dict[str, str] = {}
@@ -145,3 +181,37 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+def _centroid_rounds(k: int, rounds: int, dims: int) -> str:
+    """The rounds of op12 written out: n0 has the first centroids, a<i> the assignments to n<i>."""
+    def assign(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (
+  SELECT rn, vec_id, v, d[1] AS distance, d[2] AS c FROM (
+    SELECT rn, vec_id, v, (SELECT min([list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c]) FROM n{i}) AS d FROM v)
+)"""
+
+    def move(i: int) -> str:
+        return f"""n{i + 1} AS MATERIALIZED (
+  SELECT n.c, coalesce(s.m, n.m) AS m FROM n{i} n LEFT JOIN (
+    SELECT c, list(floor_mean ORDER BY j) AS m FROM (
+      SELECT c, j, (sum(x)::BIGINT - ((sum(x)::BIGINT % count(*)) + count(*)) % count(*)) // count(*) AS floor_mean
+      FROM (SELECT c, unnest(v) AS x, unnest(range({dims})) AS j FROM a{i}) GROUP BY c, j) GROUP BY c
+  ) s ON s.c = n.c
+)"""
+
+    steps = [s for i in range(rounds) for s in (assign(i), move(i))]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), n0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h NULLS LAST, v LIMIT {k})
+), {", ".join(steps + [assign(rounds)])}
+SELECT a.vec_id, a.c::INT AS cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(n.m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN n{rounds} n ON n.c = a.c
+"""
+
+
+ORACLE["op12_table_centroids"] = _centroid_rounds(16, 3, 64)
