@@ -14,9 +14,10 @@ with it in a block that both keep.
 The second has one bit for a quarter of a token, and can be folded to half its size. Its Hamming distance tells most
 pairs apart that met by chance; the others are compared in full.
 
-Equal sets are one node. No bucket is expanded into its pairs: its members are compared with one leader, components
-of the confirmed links are formed, and only in buckets that then hold several components are members compared
-further, block against block inside a task, each pair in the first bucket that it shares.
+Equal sets are one. Keys are moved once, and those of very many sets, which a sample tells, are dealt into parts. No
+bucket is expanded into its pairs: its members are compared with one leader, components of the confirmed links are
+formed, and only in buckets that then hold several components are members compared further, block against block
+inside a task, each pair in the first bucket that it shares. Texts move once, compressed, for the sets that met.
 """
 
 from __future__ import annotations
@@ -25,18 +26,23 @@ from collections.abc import Iterator
 from functools import cache
 from hashlib import blake2b
 from math import floor, log
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import hot_join, mix, passing, python_ready, shingle_hashes, stage, text_chunks, word_hashes
+from kinfold.llm.common import bounded_sample, hot_join, mix, passing, python_ready, shingle_hashes, stage, text_chunks, word_hashes
 from kinfold.llm.components import components
 from kinfold.llm.running import running_sums
 
 #: Tokens of the members on one side of a task of the last comparison; a member counts as MEMBER of them at least.
 BLOCK, MEMBER = 250_000, 500
+#: Sets that are looked at for keys of very many sets, in how many of them a key is such a one, how many such keys there are at most, and how many parts each is dealt into. They change the plan only.
+SAMPLE_ROWS, OFTEN, HOT_KEYS, SALTS = 20_000, 20, 16_384, 64
+#: Digests that a task remembers, so as to sketch a set once.
+SEEN = 200_000
 _U = np.uint64
 
 
@@ -106,17 +112,22 @@ def _sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, text_hash, n_shingles, set_key, sig, keys). set_key is null for empty sets; sig and keys, of all bands of the set, are null for those that no other set can be linked with."""
+    """(doc_id, text) -> (doc_id, text_hash, n_shingles, set_key, sig, keys). set_key is null for empty sets; sig and keys, of all bands of the set, are null for those that no other set can be linked with or that have no doc_id, and where the task has given them before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             n, key, sig, keys = [], [], [], []
-            for s in _sets(batch.column("text"), size):
+            for s, named in zip(_sets(batch.column("text"), size), batch.column("doc_id").is_valid().to_pylist(), strict=True):
                 n.append(len(s))
-                key.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                lone = den * len(s) < num * (len(s) + 1)  # one token more is already too much
-                sig.append(None if lone else parity_bits(s).tobytes())
-                keys.append(None if lone else np.concatenate([block_keys(s, j, num, den) for j in layouts(len(s), num, den)]).view(np.int64))
+                key.append(own := blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                skip = den * len(s) < num * (len(s) + 1) or own in seen or not named  # one token more is already too much
+                sig.append(None if skip else parity_bits(s).tobytes())
+                keys.append(None if skip else np.concatenate([block_keys(s, j, num, den) for j in layouts(len(s), num, den)]).view(np.int64))
+                if len(seen) >= SEEN:
+                    seen.clear()
+                if named:
+                    seen.add(own)
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "text_hash", "n_shingles", "set_key", "sig", "keys"],
@@ -126,32 +137,49 @@ def sketches(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, sig binary, keys array<long>")
 
 
-def full_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(node, text) -> (node, items): the sorted shingle hashes as 8-byte integers."""
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, pack): the compressed text, once for rows that are repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column("node"), pa.array([s.tobytes() for s in _sets(batch.column("text"), size)], pa.binary())], names=["node", "items"])
+            pack = [compress(t or b"", 1) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(pack, pa.binary())], names=["doc_id", "text_hash", "pack"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, items binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, pack binary")
+    return rows.groupBy("doc_id", "text_hash").agg(F.first("pack").alias("pack"))
+
+
+def unpacked(pack: pa.Scalar, size: int) -> np.ndarray:
+    """The set of a packed text."""
+    return next(_sets(pa.array([decompress(pack.as_buffer())], pa.binary()).cast(pa.string()), size))
 
 
-def _where(pairs: DataFrame, keep) -> DataFrame:
-    """u, v of the rows (u, v, a, b, m, n) that keep(a, b, m, n) is true of."""
+def _where(pairs: DataFrame, columns: list[str], keep) -> DataFrame:
+    """(u, v) of the rows that keep(a row of columns) is true of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = ([np.frombuffer(x.as_buffer(), _U) for x in batch.column(c)] for c in "ab")
-            kept = [keep(*row) for row in zip(a, b, batch.column("m").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            kept = [keep(*row) for row in zip(*[batch.column(c) for c in columns], strict=True)]
             yield pa.record_batch([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.select("u", "v", "a", "b", "m", "n").mapInArrow(run, "u long, v long")
+    kind = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in "uv")
+    return pairs.select("u", "v", *columns).mapInArrow(run, kind)
 
 
-def _with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """pairs (u, v) with this column of u as a and of v as b, and with their sizes m and n."""
-    of = lambda end, x, size: table.select(F.col("node").alias(end), F.col(column).alias(x), F.col("n").alias(size)).hint("merge")
-    return pairs.join(of("u", "a", "m"), "u").join(of("v", "b", "n"), "v")
+def shared_keys(made: DataFrame) -> DataFrame:
+    """(key, node, lead): the keys that several sets have, each set of them once, and the least of them. The rows move once."""
+    keys = made.where("doc_id is not null").select(F.xxhash64("set_key").alias("node"), F.explode("keys").alias("key")).where("key <> 0")
+    sample = bounded_sample(made.where("doc_id is not null and keys is not null"), SAMPLE_ROWS, "set_key")
+    often = sample.select(F.explode("keys").alias("key")).where("key <> 0").groupBy("key").count().where(F.col("count") >= OFTEN)
+    hot = [r.key for r in often.orderBy(F.desc("count"), "key").limit(HOT_KEYS).collect()]
+    listed = F.broadcast(made.sparkSession.createDataFrame([(k, True) for k in hot], "key long, hot boolean"))
+    dealt = keys.join(listed, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))).otherwise(0))
+    here = Window.partitionBy("key", "salt")
+    marked = dealt.withColumns({"low": F.min("node").over(here), "high": F.max("node").over(here)}).where("hot or low <> high")
+    leads = keys.join(listed, "key", "left_semi").groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
+    with_leads = marked.join(F.broadcast(leads), "key", "left").where("lead is null or lead <> last")
+    return with_leads.select("key", "node", F.coalesce("lead", "low").alias("lead"))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -174,68 +202,72 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     with passing(spark):
         made = stage(sketches(docs, shingle, num, den), "sketches", keep=True)
         whole = made.where("set_key is not null and doc_id is not null")
-        # one node for each distinct set, however many documents have it
-        node = whole.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-        node = stage(node.withColumn("node", F.monotonically_increasing_id()), "nodes")
-        keys = node.select("node", F.explode("keys").alias("key")).where("key <> 0")
-        shared = stage(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1"), "shared")
-        members = stage(hot_join(keys, shared.withColumnRenamed("n", "members"), ["key"], shared.select("key", "n")), "members")
-        pairs = members.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
-        met = _with(pairs, node, "sig").where(F.least("m", "n") * den >= F.greatest("m", "n") * num)
-        stars = stage(_where(met, lambda a, b, m, n: near(a, b, m, n, num, den)), "stars")
-        # the texts of nodes that share a key: rows that are repeated are one before they meet
-        wanted = members.select("node").distinct().join(node.select("node", "n", "doc.*").hint("merge"), "node")
-        texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
-        sets = full_sets(wanted.hint("merge").join(texts, ["doc_id", "text_hash"]), shingle)
-        sets = stage(sets.join(node.select("node", "n").hint("merge"), "node"), "sets")
-        links = stage(_where(_with(stars, sets, "items"), lambda a, b, m, n: linked(a, b, num, den)), "links")
+        first = F.min(F.struct("doc_id", "text_hash")).alias("doc")
+        sets = whole.groupBy("set_key").agg(first, F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sig", True).alias("sig"))
+        sets = stage(sets.withColumn("node", F.xxhash64("set_key")), "sets")
+        members = stage(shared_keys(made).distinct(), "members")
+        # node is a short name of a set: who has it, by that name, is looked up before anything is decided
+        met = members.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
+        short = lambda end, names: sets.select(F.col("node").alias(end), *[F.col(c).alias(x) for c, x in names.items()]).hint("merge")
+        met = met.join(short("u", {"set_key": "s", "sig": "a", "n": "m"}), "u").join(short("v", {"set_key": "t", "sig": "b", "n": "n"}), "v")
+        met = met.where(F.least("m", "n") * den >= F.greatest("m", "n") * num).drop("u", "v").withColumnsRenamed({"s": "u", "t": "v"})
+        bits = lambda x: np.frombuffer(x.as_buffer(), _U)
+        stars = stage(_where(met, ["a", "b", "m", "n"], lambda a, b, m, n: near(bits(a), bits(b), m.as_py(), n.as_py(), num, den)), "stars")
+        wanted = members.select("node").distinct().join(sets.select("node", "set_key", "doc.*").hint("merge"), "node").drop("node")
+        texts = stage(wanted.hint("merge").join(packed(docs), ["doc_id", "text_hash"]).select("set_key", "pack"), "texts")
+        of = lambda end, x: texts.select(F.col("set_key").alias(end), F.col("pack").alias(x)).hint("merge")
+        links = _where(stars.join(of("u", "a"), "u").join(of("v", "b"), "v"), ["a", "b"], lambda a, b: linked(unpacked(a, shingle), unpacked(b, shingle), num, den))
+        links = stage(links, "links")
         part = components(links)
-        more = stage(_rest(members.where("members > 2"), shared.select("key", "n"), node, part, sets, num, den), "links")
+        more = stage(_rest(members, sets, part, texts, shingle, num, den), "links")
         part = components(links.unionByName(more)) if not more.isEmpty() else part
-        # components of nodes, by their smallest document
-        named = stage(part.join(node.select("node", F.col("doc.doc_id").alias("doc_id")), "node"), "named")
+        # components of sets, by their smallest document
+        named = stage(part.join(sets.select(F.col("set_key").alias("node"), F.col("doc.doc_id").alias("doc_id")), "node"), "named")
         least = stage(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-        found = hot_join(named, least, ["component"]).select("node", "component_id")
-        of_set = node.select("node", "set_key", F.col("doc.doc_id").alias("own"), "copies").join(found, "node", "left")
+        found = hot_join(named, least, ["component"]).select(F.col("node").alias("set_key"), "component_id")
+        of_set = sets.select("set_key", F.col("doc.doc_id").alias("own"), "copies").join(found, "set_key", "left")
         of_set = stage(of_set.select("set_key", F.coalesce("component_id", "own").alias("component_id"), "copies"), "components", keep=True)
     each = made.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
     out = hot_join(each, of_set.drop("copies"), ["set_key"], of_set.select("set_key", F.col("copies").alias("n")), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _rest(members: DataFrame, shared: DataFrame, node: DataFrame, part: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _rest(members: DataFrame, sets: DataFrame, part: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Further confirmed links (u, v): enough of them to connect all components that a link connects.
 
-    In each bucket that holds several components, members outside its most frequent one are held against all its
-    members: blocks of the one side meet blocks of the other. Of a member's links one to each other component
-    leaves the task.
+    In each bucket of three sets or more that holds several components, members outside its most frequent one are held
+    against all its members: blocks of the one side meet blocks of the other. Of a member's links one to each other
+    component leaves the task.
     """
-    m = members.select("key", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    m = stage(m.join(node.select("node", "n"), "node"), "mixed")
+    m = members.join(sets.select("node", "set_key", "n"), "node").join(part.withColumnRenamed("node", "set_key"), "set_key", "left")
+    m = stage(m.select("key", "set_key", "n", F.coalesce("component", "set_key").alias("component")), "mixed")
     sizes = m.groupBy("key", "component").agg(F.count("*").alias("k"))
-    main = stage(sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"), "main")
-    m = stage(hot_join(m, main, ["key"], shared), "mixed")
-    blocked = lambda df, name: running_sums(df, ["key"], [F.col("n"), F.col("node")], {"upto": F.greatest("n", F.lit(MEMBER))}, "blocks").select("key", "node", "component", F.expr(f"cast((upto - 1) div {BLOCK} as int)").alias(name))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("all"))
+    main = stage(main.where("parts > 1 and all > 2"), "main")
+    counts = main.select("key", F.col("all").alias("n"))
+    m = stage(hot_join(m.join(main.select("key"), "key", "left_semi"), main.select("key", "main"), ["key"], counts), "mixed")
+    blocked = lambda df, name: running_sums(df, ["key"], [F.col("n"), F.col("set_key")], {"upto": F.greatest("n", F.lit(MEMBER))}, "blocks").select("key", "set_key", "n", "component", F.expr(f"cast((upto - 1) div {BLOCK} as int)").alias(name))
     every, odd = stage(blocked(m.drop("main"), "y"), "blocks"), stage(blocked(m.where("component <> main").drop("main"), "x"), "blocks")
     last = lambda df, b: df.groupBy("key").agg(F.max(b).alias("most"))
-    facing = lambda df, b, other: hot_join(df, stage(last(other, b), "most"), ["key"], shared).withColumn(b, F.explode(F.sequence(F.lit(0), F.col("most")))).drop("most")
+    facing = lambda df, b, other: hot_join(df, stage(last(other, b), "most"), ["key"], counts).withColumn(b, F.explode(F.sequence(F.lit(0), F.col("most")))).drop("most")
     rows = facing(odd, "y", every).withColumn("side", F.lit(True)).unionByName(facing(every, "x", odd).withColumn("side", F.lit(False)))
 
     def run(g: pa.Table) -> pa.Table:
         us, vs, bucket = [], [], g.column("key")[0].as_py()
-        arrays = {c: [np.frombuffer(x.as_buffer(), _U) for x in g.column(c)] for c in ("sig", "items")}
-        names, n, component, side = (g.column(c).to_numpy() for c in ("node", "n", "component", "side"))
-        keys = [x.values.to_numpy() for x in g.column("keys")]
-        at = int(np.flatnonzero(keys[0] == bucket)[0])  # the bucket's band and block, from any member
-        for band in layouts(int(n[0]), num, den):
-            blocks = layout(band, num, den)[0]
-            if at < blocks:
-                break
-            at -= blocks
-        begin = [sum(layout(j, num, den)[0] for j in layouts(int(k), num, den) if j < band) for k in n]
-        keys = np.stack([k[b : b + blocks] for k, b in zip(keys, begin, strict=True)])
-        words = min(map(len, arrays["sig"]))
-        sig = np.stack([fold(s, words) for s in arrays["sig"]])
+        names = g.column("set_key").to_pylist()
+        n, side = (g.column(c).to_numpy() for c in ("n", "side"))
+        component = np.unique(np.array(g.column("component").to_pylist(), object), return_inverse=True)[1]
+        own = {k: unpacked(t, shingle) for k, t in zip(names, g.column("pack"), strict=True)}
+        at, blocks, keys = None, 0, {}
+        for k, s in own.items():  # the keys of all sets in the bucket's band, which any of them tells
+            for band in layouts(len(s), num, den):
+                if at is None and len(found := np.flatnonzero(block_keys(s, band, num, den).view(np.int64) == bucket)):
+                    at, where = int(found[0]), band
+            keys[k] = block_keys(s, where, num, den)
+        keys = np.stack([keys[k] for k in names])
+        sig = [parity_bits(own[k]) for k in names]
+        words = min(map(len, sig))
+        sig = np.stack([fold(s, words) for s in sig])
         q = np.flatnonzero(~side)
         for p in np.flatnonzero(side):
             first = ((keys[q] == keys[p]) & (keys[q] != 0)).argmax(1)
@@ -243,10 +275,11 @@ def _rest(members: DataFrame, shared: DataFrame, node: DataFrame, part: DataFram
             apart = np.bitwise_count(sig[some] ^ sig[p]).sum(1, dtype=np.int64)
             met = set()
             for j in some[apart <= most_difference(n[some], n[p], num, den)]:
-                if component[j] not in met and linked(arrays["items"][p], arrays["items"][j], num, den):
+                if component[j] not in met and linked(own[names[p]], own[names[j]], num, den):
                     met.add(component[j])
-                    us.append(min(names[p], names[j])), vs.append(max(names[p], names[j]))
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+                    u, v = sorted((names[p], names[j]))
+                    us.append(u), vs.append(v)
+        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
 
-    full = rows.join(sets.join(node.select("node", "sig", "keys").hint("merge"), "node").hint("merge"), "node")
-    return full.groupBy("key", "x", "y").applyInArrow(run, "u long, v long").distinct()
+    full = rows.join(texts.hint("merge"), "set_key")
+    return full.groupBy("key", "x", "y").applyInArrow(run, "u binary, v binary").distinct()

@@ -42,13 +42,21 @@ def test_hot_group_with_links_between_members_only(spark, monkeypatch):
     assert got == brute([r[:2] for r in rows], 5, 80, 100)
 
 
+def test_hot_keys_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "OFTEN", 3)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[: 119 - i % 5], f"end{i % 30}"])) for i in range(200)] + [(500 + i, f"lone text number {i} " * 4) for i in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute(rows, 5, 80, 100)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "one two"), (None, "one"), (5, "ONE"), (7, "a " * 50000), (8, "b c d e f g"), (9, "É b c d e f")]
-    rows += [(None, "p q r s t u v w x y z"), (10, "p q r s t u v w x y z"), (10, "other text of that document")]
+    rows += [(None, "p q r s t u v w x y z"), (10, "p q r s t u v w x y z"), (10, "other text of that document"), (11, "p q r s t u v w x y z a"), (12, "P q r s t u v w x y z")]
     got = parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r.component_id for r in got}
-    assert by == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, None: None, 7: 7, 8: 8, 9: 9, 10: 10}
+    assert by == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, None: None, 7: 7, 8: 8, 9: 9, 10: 10, 11: 10, 12: 10}
     assert parity_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError, match="threshold"):
         parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, (1, 2))
