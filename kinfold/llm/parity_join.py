@@ -11,13 +11,14 @@ of the one or two bands that it lies in, and a block holds three to six tokens a
 blocks more: a set with no more empty blocks than these does without keys for them, and a linked set still agrees
 with it in a block that both keep.
 
-The second has one bit for a quarter of a token, and can be folded to half its size. Its Hamming distance tells most
-pairs apart that met by chance; the others are compared in full.
+The second has about as many bits as the set has tokens, and can be folded to half its size. Its Hamming distance
+tells most pairs apart that met by chance; the others are compared in full.
 
 Equal sets are one. Keys are moved once, and those of very many sets, which a sample tells, are dealt into parts. No
-bucket is expanded into its pairs: its members are compared with one leader, components of the confirmed links are
-formed, and only in buckets that then hold several components are members compared further, block against block
-inside a task, each pair in the first bucket that it shares. Texts move once, compressed, for the sets that met.
+bucket is expanded into its pairs: its members are compared with a few leaders of it, the same ones in all buckets
+that have them, and components of the confirmed links are formed. Only in larger buckets that then still hold several
+components are members compared further, sketch against sketch and block against block inside a task. Texts move for
+the sets of pairs that their sketches leave open, and compressed.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ from kinfold.llm.common import bounded_sample, hot_join, mix, passing, python_re
 from kinfold.llm.components import components
 from kinfold.llm.running import running_sums
 
-#: Tokens of the members on one side of a task of the last comparison; a member counts as MEMBER of them at least.
-BLOCK, MEMBER = 250_000, 500
+#: Leaders of a bucket.
+LEADERS = 8
+#: Tokens of the members on one side of a last comparison; a member counts as MEMBER of them at least. A task makes comparisons of about BIN tokens.
+BLOCK, MEMBER, BIN = 1_000_000, 500, 4_000_000
 #: Sets that are looked at for keys of very many sets, in how many of them a key is such a one, how many such keys there are at most, and how many parts each is dealt into. They change the plan only.
 SAMPLE_ROWS, OFTEN, HOT_KEYS, SALTS = 20_000, 20, 16_384, 64
 #: Digests that a task remembers, so as to sketch a set once.
@@ -80,8 +83,8 @@ def block_keys(tokens: np.ndarray, band: int, num: int, den: int) -> np.ndarray:
 
 
 def parity_bits(tokens: np.ndarray) -> np.ndarray:
-    """The sketch for Hamming distances: 1024 bits or, up to a factor of two, four for each token."""
-    bits = max(1024, 1 << (4 * len(tokens) - 1).bit_length())
+    """The sketch for Hamming distances: 256 bits or, up to a factor of two, one for each token."""
+    bits = max(256, 1 << (len(tokens) - 1).bit_length())
     where = (mix(tokens) & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(where, minlength=bits) & 1).astype(np.uint8)).view(_U)
 
@@ -168,18 +171,18 @@ def _where(pairs: DataFrame, columns: list[str], keep) -> DataFrame:
 
 
 def shared_keys(made: DataFrame) -> DataFrame:
-    """(key, node, lead): the keys that several sets have, each set of them once, and the least of them. The rows move once."""
+    """(key, node): the keys that several sets have, and each of these sets, by a short name. The rows move once."""
     keys = made.where("doc_id is not null").select(F.xxhash64("set_key").alias("node"), F.explode("keys").alias("key")).where("key <> 0")
-    sample = bounded_sample(made.where("doc_id is not null and keys is not null"), SAMPLE_ROWS, "set_key")
+    sample = bounded_sample(made.where("doc_id is not null and keys is not null").select("set_key", "keys"), SAMPLE_ROWS, "set_key")
     often = sample.select(F.explode("keys").alias("key")).where("key <> 0").groupBy("key").count().where(F.col("count") >= OFTEN)
-    hot = [r.key for r in often.orderBy(F.desc("count"), "key").limit(HOT_KEYS).collect()]
-    listed = F.broadcast(made.sparkSession.createDataFrame([(k, True) for k in hot], "key long, hot boolean"))
+    hot = [(r.key, True) for r in often.orderBy(F.desc("count"), "key").limit(HOT_KEYS).collect()]
+    listed = F.broadcast(made.sparkSession.createDataFrame(hot, "key long, hot boolean"))
     dealt = keys.join(listed, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))).otherwise(0))
     here = Window.partitionBy("key", "salt")
-    marked = dealt.withColumns({"low": F.min("node").over(here), "high": F.max("node").over(here)}).where("hot or low <> high")
-    leads = keys.join(listed, "key", "left_semi").groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-    with_leads = marked.join(F.broadcast(leads), "key", "left").where("lead is null or lead <> last")
-    return with_leads.select("key", "node", F.coalesce("lead", "low").alias("lead"))
+    met = dealt.withColumns({"low": F.min("node").over(here), "high": F.max("node").over(here)}).where("hot or low <> high")
+    alone = keys.join(listed, "key", "left_semi").groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low = high").select("key")
+    # no more than HOT_KEYS rows
+    return met.join(F.broadcast(alone), "key", "left_anti").select("key", "node").distinct()
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -205,21 +208,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
         first = F.min(F.struct("doc_id", "text_hash")).alias("doc")
         sets = whole.groupBy("set_key").agg(first, F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sig", True).alias("sig"))
         sets = stage(sets.withColumn("node", F.xxhash64("set_key")), "sets")
-        members = stage(shared_keys(made).distinct(), "members")
-        # node is a short name of a set: who has it, by that name, is looked up before anything is decided
-        met = members.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
-        short = lambda end, names: sets.select(F.col("node").alias(end), *[F.col(c).alias(x) for c, x in names.items()]).hint("merge")
-        met = met.join(short("u", {"set_key": "s", "sig": "a", "n": "m"}), "u").join(short("v", {"set_key": "t", "sig": "b", "n": "n"}), "v")
-        met = met.where(F.least("m", "n") * den >= F.greatest("m", "n") * num).drop("u", "v").withColumnsRenamed({"s": "u", "t": "v"})
-        bits = lambda x: np.frombuffer(x.as_buffer(), _U)
-        stars = stage(_where(met, ["a", "b", "m", "n"], lambda a, b, m, n: near(bits(a), bits(b), m.as_py(), n.as_py(), num, den)), "stars")
-        wanted = members.select("node").distinct().join(sets.select("node", "set_key", "doc.*").hint("merge"), "node").drop("node")
-        texts = stage(wanted.hint("merge").join(packed(docs), ["doc_id", "text_hash"]).select("set_key", "pack"), "texts")
-        of = lambda end, x: texts.select(F.col("set_key").alias(end), F.col("pack").alias(x)).hint("merge")
-        links = _where(stars.join(of("u", "a"), "u").join(of("v", "b"), "v"), ["a", "b"], lambda a, b: linked(unpacked(a, shingle), unpacked(b, shingle), num, den))
-        links = stage(links, "links")
+        members = stage(shared_keys(made), "members")
+        # leaders are the first by a few orders that are the same in all buckets
+        orders = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(LEADERS)]
+        leaders = stage(members.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*orders)).alias("leads")), "leaders")
+        counts = leaders.select("key", "n")
+        met = hot_join(members, leaders.select("key", "leads"), ["key"], counts).select("node", F.explode("leads").alias("lead")).where("node <> lead")
+        links = _confirmed(met.select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")), docs, sets, shingle, num, den)
         part = components(links)
-        more = stage(_rest(members, sets, part, texts, shingle, num, den), "links")
+        open_ = leaders.where(F.col("n") - 1 > F.size("leads")).select("key", "n")
+        more = _confirmed(_rest(members, open_, sets, part, num, den), docs, sets, shingle, num, den)
         part = components(links.unionByName(more)) if not more.isEmpty() else part
         # components of sets, by their smallest document
         named = stage(part.join(sets.select(F.col("set_key").alias("node"), F.col("doc.doc_id").alias("doc_id")), "node"), "named")
@@ -232,54 +230,61 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _rest(members: DataFrame, sets: DataFrame, part: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Further confirmed links (u, v): enough of them to connect all components that a link connects.
+def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Links (u, v), by set_key, among pairs (u, v) of short names; repeated pairs are one. Written."""
+    short = lambda end, names: sets.select(F.col("node").alias(end), *[F.col(c).alias(x) for c, x in names.items()]).hint("merge")
+    met = pairs.distinct().join(short("u", {"set_key": "s", "sig": "a", "n": "m"}), "u").join(short("v", {"set_key": "t", "sig": "b", "n": "n"}), "v")
+    met = met.where(F.least("m", "n") * den >= F.greatest("m", "n") * num).drop("u", "v").withColumnsRenamed({"s": "u", "t": "v"})
+    bits = lambda x: np.frombuffer(x.as_buffer(), _U)
+    left = stage(_where(met, ["a", "b", "m", "n"], lambda a, b, m, n: near(bits(a), bits(b), m.as_py(), n.as_py(), num, den)), "open")
+    if left.isEmpty():
+        return left
+    wanted = left.select(F.col("u").alias("set_key")).union(left.select("v")).distinct().join(sets.select("set_key", "doc.*").hint("merge"), "set_key")
+    texts = stage(wanted.hint("merge").join(packed(docs), ["doc_id", "text_hash"]).select("set_key", "pack"), "texts")
+    of = lambda end, x: texts.select(F.col("set_key").alias(end), F.col("pack").alias(x)).hint("merge")
+    both = left.join(of("u", "a"), "u").join(of("v", "b"), "v")
+    return stage(_where(both, ["a", "b"], lambda a, b: linked(unpacked(a, shingle), unpacked(b, shingle), num, den)), "links")
 
-    In each bucket of three sets or more that holds several components, members outside its most frequent one are held
-    against all its members: blocks of the one side meet blocks of the other. Of a member's links one to each other
-    component leaves the task.
+
+def _rest(members: DataFrame, open_: DataFrame, sets: DataFrame, part: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) that sketches leave open, in the buckets open_ (key, n) that hold several components.
+
+    Members outside a bucket's most frequent component are held against all its members of other components: blocks
+    of the one side meet blocks of the other, many small buckets in one task.
     """
-    m = members.join(sets.select("node", "set_key", "n"), "node").join(part.withColumnRenamed("node", "set_key"), "set_key", "left")
-    m = stage(m.select("key", "set_key", "n", F.coalesce("component", "set_key").alias("component")), "mixed")
+    m = members.join(open_.select("key"), "key", "left_semi").join(sets.select("node", "set_key", F.col("n").alias("size")), "node").join(part.withColumnRenamed("node", "set_key"), "set_key", "left")
+    m = stage(m.select("key", "node", F.col("size").alias("n"), F.coalesce("component", "set_key").alias("component")), "mixed")
     sizes = m.groupBy("key", "component").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("all"))
-    main = stage(main.where("parts > 1 and all > 2"), "main")
-    counts = main.select("key", F.col("all").alias("n"))
-    m = stage(hot_join(m.join(main.select("key"), "key", "left_semi"), main.select("key", "main"), ["key"], counts), "mixed")
-    blocked = lambda df, name: running_sums(df, ["key"], [F.col("n"), F.col("set_key")], {"upto": F.greatest("n", F.lit(MEMBER))}, "blocks").select("key", "set_key", "n", "component", F.expr(f"cast((upto - 1) div {BLOCK} as int)").alias(name))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"))
+    main = stage(main.where("parts > 1").drop("parts"), "main")
+    m = stage(hot_join(m, main, ["key"], open_), "mixed")
+    blocked = lambda df, name: running_sums(df, ["key"], [F.col("n"), F.col("node")], {"upto": F.greatest("n", F.lit(MEMBER))}, "blocks").select("key", "node", "n", "component", F.expr(f"cast((upto - 1) div {BLOCK} as int)").alias(name))
     every, odd = stage(blocked(m.drop("main"), "y"), "blocks"), stage(blocked(m.where("component <> main").drop("main"), "x"), "blocks")
     last = lambda df, b: df.groupBy("key").agg(F.max(b).alias("most"))
-    facing = lambda df, b, other: hot_join(df, stage(last(other, b), "most"), ["key"], counts).withColumn(b, F.explode(F.sequence(F.lit(0), F.col("most")))).drop("most")
+    facing = lambda df, b, other: hot_join(df, stage(last(other, b), "most"), ["key"], open_).withColumn(b, F.explode(F.sequence(F.lit(0), F.col("most")))).drop("most")
     rows = facing(odd, "y", every).withColumn("side", F.lit(True)).unionByName(facing(every, "x", odd).withColumn("side", F.lit(False)))
+    rows = stage(rows, "facing")
+    weight = rows.agg(F.coalesce(F.sum(F.greatest("n", F.lit(MEMBER))), F.lit(0))).first()[0]
+    rows = rows.withColumns({"task": F.xxhash64("key", "x", "y"), "bin": F.pmod(F.xxhash64("key", "x", "y"), F.lit(weight // BIN + 1))})
 
     def run(g: pa.Table) -> pa.Table:
-        us, vs, bucket = [], [], g.column("key")[0].as_py()
-        names = g.column("set_key").to_pylist()
-        n, side = (g.column(c).to_numpy() for c in ("n", "side"))
+        out: set[tuple[int, int]] = set()
+        g = g.sort_by([("task", "ascending"), ("side", "ascending")])
+        task, side, n, names = (g.column(c).to_numpy() for c in ("task", "side", "n", "node"))
         component = np.unique(np.array(g.column("component").to_pylist(), object), return_inverse=True)[1]
-        own = {k: unpacked(t, shingle) for k, t in zip(names, g.column("pack"), strict=True)}
-        at, blocks, keys = None, 0, {}
-        for k, s in own.items():  # the keys of all sets in the bucket's band, which any of them tells
-            for band in layouts(len(s), num, den):
-                if at is None and len(found := np.flatnonzero(block_keys(s, band, num, den).view(np.int64) == bucket)):
-                    at, where = int(found[0]), band
-            keys[k] = block_keys(s, where, num, den)
-        keys = np.stack([keys[k] for k in names])
-        sig = [parity_bits(own[k]) for k in names]
-        words = min(map(len, sig))
-        sig = np.stack([fold(s, words) for s in sig])
-        q = np.flatnonzero(~side)
-        for p in np.flatnonzero(side):
-            first = ((keys[q] == keys[p]) & (keys[q] != 0)).argmax(1)
-            some = q[(first == at) & (np.minimum(n[q], n[p]) * den >= np.maximum(n[q], n[p]) * num) & (component[q] != component[p])]
-            apart = np.bitwise_count(sig[some] ^ sig[p]).sum(1, dtype=np.int64)
-            met = set()
-            for j in some[apart <= most_difference(n[some], n[p], num, den)]:
-                if component[j] not in met and linked(own[names[p]], own[names[j]], num, den):
-                    met.add(component[j])
-                    u, v = sorted((names[p], names[j]))
-                    us.append(u), vs.append(v)
-        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
-
-    full = rows.join(texts.hint("merge"), "set_key")
-    return full.groupBy("key", "x", "y").applyInArrow(run, "u binary, v binary").distinct()
+        sigs = [np.frombuffer(x.as_buffer(), _U) for x in g.column("sig")]
+        edges = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+        for at, to in zip(edges, edges[1:], strict=False):
+            words = min(map(len, sigs[at:to]))
+            sig = np.stack([fold(s, words) for s in sigs[at:to]])
+            half = at + int(np.searchsorted(side[at:to], True))
+            q = np.arange(at, half)
+            for p in range(half, to):
+                some = q[(np.minimum(n[q], n[p]) * den >= np.maximum(n[q], n[p]) * num) & (component[q] != component[p])]
+                apart = np.bitwise_count(sig[some - at] ^ sig[p - at]).sum(1, dtype=np.int64)
+                for j in some[apart <= most_difference(n[some], n[p], num, den)]:
+                    out.add((int(min(names[p], names[j])), int(max(names[p], names[j]))))
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+    full = rows.join(sets.select("node", "sig").hint("merge"), "node")
+    return full.groupBy("bin").applyInArrow(run, "u long, v long")
