@@ -39,7 +39,7 @@ from kinfold.llm.components import components
 from kinfold.llm.running import running_sums
 
 #: Leaders of a bucket.
-LEADERS = 8
+LEADERS = 3
 #: Tokens of the members on one side of a last comparison; a member counts as MEMBER of them at least. A task makes comparisons of about BIN tokens.
 BLOCK, MEMBER, BIN = 1_000_000, 500, 4_000_000
 #: Sets that are looked at for keys of very many sets, in how many of them a key is such a one, how many such keys there are at most, and how many parts each is dealt into. They change the plan only.
