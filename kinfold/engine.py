@@ -293,6 +293,7 @@ class _Run:
     def _scan(self) -> None:
         e, first = self.e, True
         while not self.stats.stopped and self._may_go_on():
+            e.source.refresh(*self.graph.keys)
             root = e.source.table(self.graph.root)
             kept = len(self.held)
             batch = self._hold(root_batch(root, self.key, self.spec.where, self.tracker.checkpoint, self.processing.batch_size))
@@ -326,7 +327,8 @@ class _Run:
                 incoming, existing = found[t].of(source[t]), e.destination.table(t)
                 key = None if g.keys[t] is None else [g.keys[t]]
                 if key is None:
-                    rows = insert_missing(incoming, existing)
+                    # only rows of the same parents can be the same
+                    rows = insert_missing(incoming, found[t].of(existing))
                 elif self.strict:
                     rows = strict_insert(t, incoming, existing, [key, *self.unique[t]])
                 else:
@@ -337,7 +339,7 @@ class _Run:
             for r in added.collect():
                 self.stats.count("copied", r.t, r.n)
             e.step("verify")
-            self.stats.verified_tables += len(verify(self.method, found, source, {t: e.destination.table(t) for t in g.keys}, sizes))
+            self.stats.verified_tables += len(verify(self.method, found, source, {t: e.destination.table(t) for t in g.keys}))
             e.step("mark copied")
             self.tracker.mark(roots, COPIED)
         if mode in ("full", "delete"):

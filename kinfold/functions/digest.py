@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Parts that the row digests of a table are dealt into; no array ever holds more than such a part.
-BUCKET_ROWS = 100_000
-
 
 def canonical(name: str, kind: T.DataType) -> Column:
     """A column as text that is the same for equal values. Text and binary carry their length, so that no value runs into the next; null is a marker no value can have."""
@@ -38,17 +35,24 @@ def row_digest(schema: T.StructType) -> Column:
     return F.sha2(F.concat_ws("\x00", *parts), 256)
 
 
-def table_digest(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """(rows, digest) of a table: the digests of its rows, sorted, within buckets; then those of the buckets.
+def digest_sums(digest: Column | str = "d") -> list[Column]:
+    """Aggregates s0 to s3: sums of the four 60-bit leading pieces of SHA-256 texts.
 
-    rows, if known, only sizes the buckets; both sides of a comparison must be given the same number.
+    Sums of a multiset do not depend on order, count repeated rows, and add up over any parts of a table, so they
+    are combined before rows move and no task holds a table's digests.
     """
-    buckets = max(1, -(-(rows if rows is not None else df.count()) // BUCKET_ROWS))
-    digests = df.select(row_digest(df.schema).alias("d"))
-    bucket = F.pmod(F.conv(F.substring("d", 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    per = digests.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "")
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(joined, 256).alias("digest"))
+    d = F.col(digest) if isinstance(digest, str) else digest
+    return [F.coalesce(F.sum(F.conv(F.substring(d, 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i in range(4)]
+
+
+def sums_text(rows: Column | str = "rows", *sums: str) -> Column:
+    """SHA-256 over a number of rows and its sums."""
+    return F.sha2(F.concat_ws(",", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in (rows, *(sums or ("s0", "s1", "s2", "s3")))]), 256)
+
+
+def table_digest(df: DataFrame) -> DataFrame:
+    """(rows, digest) of a table, whatever the order and partitions of its rows. Repeated rows count as often as they occur."""
+    return df.select(row_digest(df.schema).alias("d")).agg(F.count("*").alias("rows"), *digest_sums()).select("rows", sums_text().alias("digest"))
 
 
 def byte_size(schema: T.StructType) -> Column:

@@ -26,13 +26,12 @@ def by_count(found: dict[str, Keys], source: dict[str, DataFrame], destination:
     return reduce(DataFrame.union, each).withColumn("match", F.col("source_rows") == F.col("destination_rows"))
 
 
-def by_digest(found: dict[str, Keys], source: dict[str, DataFrame], destination: dict[str, DataFrame], rows: dict[str, int] | None = None) -> DataFrame:
-    """table, source_rows, destination_rows, match: counts and digests both equal. rows: the source's counts, where known, size the buckets of the digests."""
+def by_digest(found: dict[str, Keys], source: dict[str, DataFrame], destination: dict[str, DataFrame]) -> DataFrame:
+    """table, source_rows, destination_rows, match: counts and digests both equal."""
     each = []
     for t in found:
         a, b = found[t].of(source[t]), found[t].of(destination[t]).select(*source[t].columns)
-        n = rows[t] if rows else a.count()
-        x, y = table_digest(a, n), table_digest(b, n)
+        x, y = table_digest(a), table_digest(b)
         both = x.select(F.col("rows").alias("source_rows"), F.col("digest").alias("d1")).crossJoin(y.select(F.col("rows").alias("destination_rows"), F.col("digest").alias("d2")))
         each.append(both.select(F.lit(t).alias("table"), "source_rows", "destination_rows", ((F.col("source_rows") == F.col("destination_rows")) & (F.col("d1") == F.col("d2"))).alias("match")))
     return reduce(DataFrame.union, each)
@@ -47,13 +46,13 @@ def row_diff(source: DataFrame, destination: DataFrame, key: str) -> DataFrame:
     return a.join(b, "key", "full").select("key", kind.alias("difference")).filter("difference is not null")
 
 
-def verify(method: str, found: dict[str, Keys], source: dict[str, DataFrame], destination: dict[str, DataFrame], rows: dict[str, int] | None = None) -> list:
+def verify(method: str, found: dict[str, Keys], source: dict[str, DataFrame], destination: dict[str, DataFrame]) -> list:
     """All tables are compared; any mismatch is an error."""
     if method not in METHODS:
         raise ValueError(f"unknown verification method {method!r}")
     if method == "skip":
         return []
-    compared = by_count(found, source, destination) if method == "count" else by_digest(found, source, destination, rows)
+    compared = by_count(found, source, destination) if method == "count" else by_digest(found, source, destination)
     results = compared.collect()  # one row for each table
     if not all(r.match for r in results):
         raise VerificationError(results)

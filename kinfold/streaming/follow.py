@@ -31,7 +31,7 @@ def follow(spark: SparkSession, graph: Graph, root_folder: str, tables: Callable
         changes = {}
         for t in graph.copy_order():
             incoming, existing, own = found[t].of(now[t]), destination.table(t), graph.keys[t]
-            changes[t] = Change(add=insert_missing(incoming, existing) if own is None else insert_ignore(incoming, existing, [own]))
+            changes[t] = Change(add=insert_missing(incoming, found[t].of(existing)) if own is None else insert_ignore(incoming, existing, [own]))
         destination.commit(changes)
         rows.unpersist()
 

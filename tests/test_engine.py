@@ -362,3 +362,30 @@ def test_unreadable_root_keys_stop_a_resume(world):
     with pytest.raises(ResumeError, match="no bigint") as e:
         engine().archive("j", skip_preflight=True)
     assert all(repr(k) in str(e.value) for k in bad) and "'4'" not in str(e.value) and ids(src, "customers") == list(range(1, 9))
+
+
+def test_rows_that_come_while_a_job_runs_are_on_one_side(spark, tmp_path):
+    """Others go on writing to a registered folder: what a delete has not seen stays."""
+    src, dst = Store(spark, f"{tmp_path}/src"), Store(spark, f"{tmp_path}/dst")
+    rows = {"parents": ("id long", [(1,), (2,), (3,)]), "children": ("id long, parent_id long, day string", [(i, i % 3 + 1, "a") for i in range(9)])}
+    for t, (kind, data) in rows.items():
+        df = spark.createDataFrame(data, kind)
+        (df.write.partitionBy("day") if t == "children" else df.write).parquet(f"{tmp_path}/{t}")
+        src.register(t, f"{tmp_path}/{t}")
+        dst.commit({t: Change(create=src.table(t).limit(0))})
+    job = {"root_table": "parents", "primary_key": "id", "where": "id <= 2", "relations": [{"table": "children", "primary_key": "id", "foreign_key": "parent_id"}]}
+    config = parse({"source": {"path": src.root}, "destination": {"path": dst.root}, "processing": {"batch_size": 1, "sleep_seconds": 0}, "verification": {"method": "sha256"}, "jobs": {"j": job}, "catalog": {"source": {"foreign_keys": [{"child": "children", "columns": "parent_id", "parent": "parents", "ref": "id"}]}}})
+    late = iter([(100, 1, "b"), (101, 2, "b")])
+
+    def append(*_):  # after each batch: a child of a parent that is gone, and one of a parent that is still there
+        if row := next(late, None):
+            spark.createDataFrame([row], rows["children"][0]).write.mode("append").partitionBy("day").parquet(f"{tmp_path}/children")
+
+    engine = Engine(spark, config, src, dst)
+    engine.on_checkpoint = append
+    engine.archive("j")
+    src.refresh()
+    here, there = ids(src, "children"), ids(dst, "children")
+    assert sorted(here + there) == [*range(9), 100, 101] and ids(src, "parents") == [3]
+    assert here == [2, 5, 8, 100, 101] and {r.id: r.day for r in src.table("children").collect()}[100] == "b"
+    assert src.refresh() == []
