@@ -6,6 +6,8 @@ What a run would have left behind (a job log, a destination) is derived from the
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +16,13 @@ from pyspark.sql import functions as F
 from kinfold import state
 from kinfold.functions.digest import table_digest
 from kinfold.graph import Graph
-from kinfold.operators import audit
+from kinfold.operators import audit, digest_tree, many, measured
 from kinfold.operators.closure import Keys, batches, closure, discovery_stats, expand, root_batch, table_counts
 from kinfold.operators.copy import conflicts, insert_ignore
-from kinfold.operators.estimate import PLACEHOLDERS, estimate, payload, placeholders
+from kinfold.operators.estimate import estimate, payload
 from kinfold.operators.purge import delete_chunks, key_uniqueness, orphans, remaining
 from kinfold.operators.verify import by_count, by_digest, row_diff
+from kinfold.operators.zones import Zoned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,6 +65,12 @@ def diamond() -> Graph:
     return g
 
 
+def diamond_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    tables = {t: table(spark, sf_dir, t) for t in ("nation", "customer", "supplier")}
+    tables["links"] = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("link"), F.col("o_custkey").alias("custkey"), (F.col("o_orderkey") % 97 + 1).alias("suppkey"))
+    return tables
+
+
 def job_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: table(spark, sf_dir, t) for t in job_graph().keys}
 
@@ -131,8 +140,7 @@ _LINKS = "SELECT o_orderkey AS link, o_custkey AS custkey, o_orderkey % 97 + 1 A
 @query(f"SELECT link FROM ({_LINKS}) WHERE custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (3, 7)) OR suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (3, 7))")
 def discover_diamond(spark, sf_dir):
     """A table below two parents: what either leads to, each key once."""
-    tables = {t: table(spark, sf_dir, t) for t in ("nation", "customer", "supplier")}
-    tables["links"] = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("link"), F.col("o_custkey").alias("custkey"), (F.col("o_orderkey") % 97 + 1).alias("suppkey"))
+    tables = diamond_tables(spark, sf_dir)
     found = closure(diamond(), tables, root_batch(tables["nation"], "n_nationkey", "n_nationkey IN (3, 7)"))
     return found["links"].rows
 
@@ -302,159 +310,115 @@ def key_measures(spark, sf_dir):
 
 QUERIES["key_uniqueness"], ORACLE["key_uniqueness"] = QUERIES.pop("key_measures"), ORACLE.pop("key_measures")
 
-# -- audits over declared facts --------------------------------------------------------------------------
-
-FKS = [
-    ("fk_nation_region", "nation", ["n_regionkey"], "region", ["r_regionkey"], "NO ACTION"), ("fk_customer_nation", "customer", ["c_nationkey"], "nation", ["n_nationkey"], "NO ACTION"),
-    ("fk_supplier_nation", "supplier", ["s_nationkey"], "nation", ["n_nationkey"], "NO ACTION"), ("fk_orders_customer", "orders", ["o_custkey"], "customer", ["c_custkey"], "CASCADE"),
-    ("fk_lineitem_orders", "lineitem", ["l_orderkey"], "orders", ["o_orderkey"], "CASCADE"), ("fk_lineitem_part", "lineitem", ["l_partkey"], "part", ["p_partkey"], "RESTRICT"),
-    ("fk_lineitem_supplier", "lineitem", ["l_suppkey"], "supplier", ["s_suppkey"], "RESTRICT"), ("fk_events_customer", "events", ["user_id"], "customer", ["c_custkey"], "NO ACTION"),
-    ("fk_orders_orders", "orders", ["o_orderkey"], "orders", ["o_orderkey"], "NO ACTION"),
-]
-_FK = "(VALUES " + ", ".join(f"('{n}', '{c}', '{k[0]}', '{p}', '{r[0]}', '{d}')" for n, c, k, p, r, d in FKS) + ") AS f(name, child, fk, parent, ref, on_delete)"
-
-
-def fk_rows(spark) -> DataFrame:
-    return spark.createDataFrame(FKS, "name string, child string, columns array<string>, parent string, ref array<string>, on_delete string")
-
-
-def names(spark, *tables: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in tables], "table string")
-
-
-def partial_edges(spark) -> DataFrame:
-    """A graph of four tables that leaves out supplier's edge and mistakes orders' key column."""
-    rows = [("nation", "customer", "c_nationkey", "n_nationkey"), ("customer", "orders", "o_orderkey", "c_custkey"), ("orders", "lineitem", "l_orderkey", "o_orderkey"), ("nation", "supplier", "s_nationkey", "n_name")]
-    return spark.createDataFrame(rows, "parent string, child string, fk string, ref string")
-
-
-_EDGES = "(VALUES ('nation', 'customer', 'c_nationkey', 'n_nationkey'), ('customer', 'orders', 'o_orderkey', 'c_custkey'), ('orders', 'lineitem', 'l_orderkey', 'o_orderkey'), ('nation', 'supplier', 's_nationkey', 'n_name')) AS e(parent, child, fk, ref)"
-
-
-@query("SELECT t AS \"table\" FROM (VALUES ('customer'), ('orders'), ('invoices'), ('shipments')) AS w(t) WHERE t NOT IN ('customer', 'orders', 'lineitem')")
-def missing_tables(spark, sf_dir):
-    return audit.missing_tables(names(spark, "customer", "orders", "invoices", "shipments"), names(spark, "customer", "orders", "lineitem"))
-
-
-@query(f"WITH e AS (SELECT * FROM {_EDGES}), t AS (SELECT parent AS t FROM e UNION SELECT child FROM e) SELECT * FROM (SELECT f.name, f.child, f.parent, CASE WHEN e.fk IS NULL THEN 'undeclared' WHEN e.fk <> f.fk THEN 'other column' WHEN e.ref <> f.ref THEN 'other key' END AS problem FROM {_FK} LEFT JOIN e ON e.parent = f.parent AND e.child = f.child WHERE f.parent <> f.child AND f.parent IN (SELECT t FROM t) AND f.child IN (SELECT t FROM t)) WHERE problem IS NOT NULL")
-def internal_fk_audit(spark, sf_dir):
-    return audit.internal_fk_audit(fk_rows(spark), partial_edges(spark))
-
+# -- file skipping, many batches, digest trees, measured keys --------------------------------------------
 
-@query(f"SELECT parent, string_agg(DISTINCT child, ',' ORDER BY child) AS children FROM {_FK} WHERE parent IN ('customer', 'orders', 'nation') AND child NOT IN ('customer', 'orders', 'nation') GROUP BY parent")
-def fk_coverage_audit(spark, sf_dir):
-    found = audit.external_children(fk_rows(spark), names(spark, "customer", "orders", "nation"))
-    return found.select("parent", F.array_join("children", ",").alias("children"))
 
+@query(
+    "WITH k AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // (SELECT greatest(1, (count(*) + 3) // 4) FROM orders WHERE o_orderstatus <> 'P') AS batch FROM orders WHERE o_orderstatus <> 'P')"
+    " SELECT batch, count(*) AS rows, min(o_orderkey) AS first_key, max(o_orderkey) AS checkpoint FROM k GROUP BY batch"
+)
+def keyset_scan_batches(spark, sf_dir):
+    """Four batches of all orders with a predicate, each from the files whose keys it needs: the table is laid out by its key first."""
+    zoned = orders_by_key(spark, sf_dir)
+    orders, where = table(spark, sf_dir, "orders"), "o_orderstatus <> 'P'"
+    size = max(1, (orders.filter(where).count() + 3) // 4)
+    found = [keys.agg(F.count("*").alias("rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("checkpoint")).first() for keys, _, _ in zoned.batches(where, size)]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "batch long, rows long, first_key long, checkpoint long")
 
-@query(f"SELECT name, child, fk AS columns, parent, ref, on_delete FROM {_FK} WHERE on_delete = 'CASCADE' AND (child IN ('customer', 'orders') OR parent IN ('customer', 'orders'))")
-def cascade_edges(spark, sf_dir):
-    mine = names(spark, "customer", "orders")
-    side = lambda end: fk_rows(spark).join(mine.withColumnRenamed("table", end), end, "left_semi")
-    found = audit.cascade_edges(side("child"), side("parent"))
-    return found.select("name", "child", F.array_join("columns", ",").alias("columns"), "parent", F.array_join("ref", ",").alias("ref"), "on_delete")
-
-
-_A = [("orders", "o_orderkey", 0, "bigint(20)", False, False, "", ""), ("orders", "o_custkey", 1, "bigint", True, False, "", ""), ("orders", "o_status", 2, "varchar(1)", True, False, "utf8mb4", "bin"), ("orders", "o_note", 3, "text", True, False, "utf8mb4", "bin"), ("customer", "c_custkey", 0, "bigint", False, False, "", ""), ("customer", "c_name", 1, "varchar(25)", False, False, "utf8mb4", "ci")]
-_B = [("orders", "o_orderkey", 0, "BIGINT", False, False, "", ""), ("orders", "o_status", 1, "varchar(1)", False, False, "latin1", "bin"), ("orders", "o_custkey", 2, "int", True, False, "", ""), ("orders", "o_extra", 3, "int", True, True, "", ""), ("customer", "c_custkey", 0, "bigint", False, False, "", ""), ("customer", "c_name", 1, "varchar(25)", True, True, "utf8mb4", "bin")]
-_COLUMNS = "table string, name string, position int, type string, nullable boolean, generated boolean, charset string, collation string"
-
-
-def _values(rows: list[tuple]) -> str:
-    lit = lambda x: str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'"
-    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ") AS c(\"table\", name, position, type, nullable, generated, charset, \"collation\")"
-
-
-_PLAIN = "regexp_replace(lower({}), '^((?:tiny|small|medium|big)?int)\\(\\d+\\)', '\\1')"
-_DIFF = f"""
-WITH a AS (SELECT * FROM {_values(_A)}), b AS (SELECT * FROM {_values(_B)}),
-j AS (SELECT coalesce(a."table", b."table") AS "table", coalesce(a.name, b.name) AS name, coalesce(a.position, b.position) AS position, a.name IS NOT NULL AS ia, b.name IS NOT NULL AS ib,
-  a.position AS ap, b.position AS bp, a.type AS at_, b.type AS bt, a.nullable AS an, b.nullable AS bn, a.generated AS ag, b.generated AS bg, a.charset AS ac, b.charset AS bc, a."collation" AS ao, b."collation" AS bo
-  FROM a FULL JOIN b ON a."table" = b."table" AND a.name = b.name),
-d AS (
-  SELECT "table", name, position, 'absent in destination' AS kind, at_ AS source, NULL AS destination FROM j WHERE NOT ib
-  UNION ALL SELECT "table", name, position, 'absent in source', NULL, bt FROM j WHERE NOT ia
-  UNION ALL SELECT "table", name, position, 'order', ap::VARCHAR, bp::VARCHAR FROM j WHERE ia AND ib AND ap <> bp
-  UNION ALL SELECT "table", name, position, 'type', at_, bt FROM j WHERE ia AND ib AND {_PLAIN.format('at_')} <> {_PLAIN.format('bt')}
-  UNION ALL SELECT "table", name, position, 'nullable', an::VARCHAR, bn::VARCHAR FROM j WHERE ia AND ib AND an <> bn
-  UNION ALL SELECT "table", name, position, 'generated', ag::VARCHAR, bg::VARCHAR FROM j WHERE ia AND ib AND bg
-  UNION ALL SELECT "table", name, position, 'charset', ac, bc FROM j WHERE ia AND ib AND ac <> bc
-  UNION ALL SELECT "table", name, position, 'collation', ao, bo FROM j WHERE ia AND ib AND ao <> bo
-), s AS (SELECT *, CASE kind WHEN 'nullable' THEN CASE WHEN source = 'true' AND destination = 'false' THEN 'fatal' ELSE 'ignored' END WHEN 'charset' THEN 'fatal' WHEN 'collation' THEN 'warning' ELSE 'fatal' END AS severity FROM d)
-"""
 
+def orders_by_key(spark, sf_dir) -> Zoned:
+    path = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "orders").repartitionByRange(16, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return Zoned.of(spark, path, "o_orderkey")
 
-def _schema_diff(spark) -> DataFrame:
-    return audit.with_severity(audit.schema_diff(spark.createDataFrame(_A, _COLUMNS), spark.createDataFrame(_B, _COLUMNS)), digest_verified=False)
 
+def shared_folder(spark) -> str:
+    """The session's spark.checkpoint.dir; a new local folder where it is unset and the driver runs its own tasks."""
+    sc = spark.sparkContext
+    if not (path := sc.getConf().get("spark.checkpoint.dir")):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="kinfold-")
+    return path
 
-@query(f"{_DIFF} SELECT * FROM s")
-def schema_diff(spark, sf_dir):
-    return _schema_diff(spark)
 
+_LABELS = f"SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS batch FROM customer WHERE {WHERE.replace('= 3', 'IN (3, 7, 11)')}"
 
-@query(f"{_DIFF} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY \"table\" ORDER BY (kind <> 'generated')::INT, position, kind, name) AS rn FROM s WHERE severity = 'fatal') WHERE rn = 1")
-def schema_diff_first_fatal(spark, sf_dir):
-    return audit.first_fatal(_schema_diff(spark))
 
+@query(
+    f"WITH r AS ({_LABELS}), o AS (SELECT o_orderkey, batch FROM orders JOIN r ON o_custkey = c_custkey), l AS (SELECT batch FROM lineitem JOIN o ON l_orderkey = o_orderkey)"
+    " SELECT batch, 0 AS position, 'customer' AS \"table\", count(*) AS rows FROM r GROUP BY batch UNION ALL SELECT batch, 1, 'orders', count(*) FROM o GROUP BY batch UNION ALL SELECT batch, 2, 'lineitem', count(*) FROM l GROUP BY batch"
+)
+def closure_many_batches(spark, sf_dir):
+    """What each of many batches finds, by one join for each edge."""
+    tables = job_tables(spark, sf_dir)
+    roots = many.labelled_roots(tables["customer"].filter("c_nationkey IN (3, 7, 11)"), "c_custkey", 100)
+    return many.batch_counts(job_graph(), tables, many.labelled_closure(job_graph(), tables, roots))
 
-@query("SELECT * FROM (VALUES ('orders', 'email/10/bin')) AS v(\"table\", parts)")
-def destination_unique_audit(spark, sf_dir):
-    """Unique keys that only the destination has: a prefix of a column is another key than the column, another name is not."""
-    kind = "table string, parts array<struct<column:string,prefix:int,expression:string,collation:string>>"
-    a = spark.createDataFrame([("orders", [("a", None, None, "bin"), ("b", None, None, "bin")]), ("orders", [("email", None, None, "bin")])], kind)
-    b = spark.createDataFrame([("orders", [("b", None, None, "bin"), ("a", None, None, "bin")]), ("orders", [("email", 10, None, "bin")])], kind)
-    show = F.array_join(F.transform("parts", lambda p: F.concat_ws("/", p["column"], p["prefix"].cast("string"), p["collation"])), ",")
-    return audit.stricter_uniques(a, b).select("table", show.alias("parts"))
 
+@query(
+    f"WITH l AS ({_LINKS}), w AS (SELECT link, c_nationkey AS batch FROM l JOIN customer ON custkey = c_custkey UNION ALL SELECT link, s_nationkey FROM l JOIN supplier ON suppkey = s_suppkey)"
+    " SELECT link, min(batch)::BIGINT AS batch FROM w GROUP BY link"
+)
+def closure_many_batches_diamond(spark, sf_dir):
+    """Every nation is a batch; a link that a customer and a supplier lead to belongs to the first of their batches."""
+    tables = diamond_tables(spark, sf_dir)
+    roots = tables["nation"].select("n_nationkey", F.col("n_nationkey").cast("long").alias("batch"))
+    return many.labelled_closure(diamond(), tables, roots)["links"]
 
-@query("SELECT * FROM (VALUES ('orders', 'before_a', 1), ('lineitem', 'only', 5)) AS t(\"table\", name, firing)")
-def first_triggers(spark, sf_dir):
-    rows = [("orders", "after_b", 2), ("orders", "before_a", 1), ("orders", "before_c", 1), ("lineitem", "only", 5)]
-    return audit.first_triggers(spark.createDataFrame(rows, "table string, name string, firing int"))
 
+@query(ORACLE["verify_row_diff"])
+def verify_tree_diff(spark, sf_dir):
+    """As verify_row_diff, going down only where digests differ."""
+    orders = table(spark, sf_dir, "orders")
+    shape = digest_tree.Shape.over(orders, "o_orderkey", 500)
+    return digest_tree.tree_diff(orders, destination_orders(orders), "o_orderkey", shape)
 
-@query("SELECT * FROM (VALUES ('fk_lineitem_part'), ('fk_lineitem_supplier')) AS f(name)")
-def fk_index_audit(spark, sf_dir):
-    indexes = spark.createDataFrame([("lineitem", ["l_orderkey", "l_linenumber"]), ("lineitem", ["l_linenumber", "l_partkey"])], "table string, columns array<string>")
-    return audit.unindexed_foreign_keys(fk_rows(spark).filter("child = 'lineitem'"), indexes).select("name")
 
+KEY_COLUMNS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"],
+    "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "events": ["event_id", "user_id"], "documents": ["doc_id"], "labels": ["doc_id"],
+}
 
-# -- the graph of tables ---------------------------------------------------------------------------------
 
+def _measured_sql() -> str:
+    """Every pair of columns by an anti-join."""
+    columns = [(t, c) for t, names in KEY_COLUMNS.items() for c in names]
+    pairs = [(a, b) for a in columns for b in columns if a[0] != b[0]]
+    one = "SELECT '{0}' AS child, '{1}' AS child_column, '{2}' AS parent, '{3}' AS parent_column WHERE (SELECT count({1}) FROM {0}) > 0 AND (SELECT count(*) = count(DISTINCT {3}) FROM {2}) AND NOT EXISTS (SELECT 1 FROM {0} WHERE {1} IS NOT NULL AND {1} NOT IN (SELECT {3} FROM {2} WHERE {3} IS NOT NULL))"
+    return " UNION ALL ".join(one.format(*a, *b) for a, b in pairs)
 
-def wide_graph() -> Graph:
-    g = Graph("nation")
-    for t, k in (("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("orders", "o_orderkey"), ("lineitem", "l_linenumber")):
-        g.add_table(t, k)
-    for p, c, f in (("nation", "customer", "c_nationkey"), ("nation", "supplier", "s_nationkey"), ("customer", "orders", "o_custkey"), ("orders", "lineitem", "l_orderkey"), ("supplier", "lineitem", "l_suppkey")):
-        g.add_edge(p, c, f)
-    return g
 
+@query(_measured_sql())
+def measured_foreign_keys(spark, sf_dir):
+    """All foreign keys that the key columns of the tables hold to, by one grouping of their values."""
+    return measured.foreign_keys({t: table(spark, sf_dir, t) for t in KEY_COLUMNS}, KEY_COLUMNS)
 
-_NODES = "(VALUES ('nation'), ('customer'), ('supplier'), ('orders'), ('lineitem')) AS n(t)"
-_LINKS5 = "(VALUES ('nation', 'customer'), ('nation', 'supplier'), ('customer', 'orders'), ('orders', 'lineitem'), ('supplier', 'lineitem')) AS e(p, c)"
 
+# -- audits of the job's graph against the foreign keys that the data has ---------------------------------
 
-@query(f"SELECT t AS \"table\", (SELECT count(DISTINCT p) FROM {_LINKS5} WHERE c = t) AS in_degree FROM {_NODES}")
-def graph_in_degree(spark, sf_dir):
-    g = wide_graph()
-    return audit.in_degrees(g.edge_rows(spark), names(spark, *g.keys))
+_MEASURED = _measured_sql()
 
 
-@query(f"WITH RECURSIVE w(t, l) AS (SELECT 'nation', 0 UNION ALL SELECT e.c, w.l + 1 FROM w JOIN {_LINKS5} ON e.p = w.t) SELECT t AS \"table\", max(l)::INT AS level FROM w GROUP BY t")
-def graph_levels(spark, sf_dir):
-    return spark.createDataFrame(list(wide_graph().levels().items()), "table string, level int")
+@query(f"SELECT parent, string_agg(DISTINCT child, ',' ORDER BY child) AS children FROM ({_MEASURED}) WHERE parent IN ('customer', 'orders', 'lineitem') AND child NOT IN ('customer', 'orders', 'lineitem') GROUP BY parent")
+def fk_coverage_audit(spark, sf_dir):
+    """Tables outside of the job whose rows lead into it: a delete would leave them behind."""
+    found = audit.external_children(measured_foreign_keys(spark, sf_dir), spark.createDataFrame([(t,) for t in job_graph().keys], "table string"))
+    return found.select("parent", F.array_join("children", ",").alias("children"))
 
 
-@query("SELECT * FROM (VALUES (0, 'nation'), (1, 'customer'), (2, 'supplier'), (3, 'orders'), (4, 'lineitem')) AS o(position, \"table\")")
-def graph_copy_order(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(wide_graph().copy_order())), "position int, table string")
+_EDGES = "(VALUES ('customer', 'orders', 'o_custkey', 'c_custkey'), ('orders', 'lineitem', 'l_orderkey', 'o_orderkey')) AS e(parent, child, fk, ref)"
 
 
-@query("SELECT * FROM (VALUES (4, 'nation'), (3, 'customer'), (2, 'supplier'), (1, 'orders'), (0, 'lineitem')) AS o(position, \"table\")")
-def graph_delete_order(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(wide_graph().delete_order())), "position int, table string")
+@query(
+    f"WITH e AS (SELECT * FROM {_EDGES}), t AS (SELECT parent AS t FROM e UNION SELECT child FROM e)"
+    f" SELECT * FROM (SELECT f.child || '.' || f.child_column AS name, f.child, f.parent, CASE WHEN e.fk IS NULL THEN 'undeclared' WHEN e.fk <> f.child_column THEN 'other column' WHEN e.ref <> f.parent_column THEN 'other key' END AS problem FROM ({_MEASURED}) f LEFT JOIN e ON e.parent = f.parent AND e.child = f.child WHERE f.parent IN (SELECT t FROM t) AND f.child IN (SELECT t FROM t)) WHERE problem IS NOT NULL"
+)
+def internal_fk_audit(spark, sf_dir):
+    """Foreign keys of the data between tables of the job that its edges do not have."""
+    f = measured_foreign_keys(spark, sf_dir).select(F.concat_ws(".", "child", "child_column").alias("name"), "child", F.array("child_column").alias("columns"), "parent", F.array("parent_column").alias("ref"))
+    edges = spark.createDataFrame([("customer", "orders", "o_custkey", "c_custkey"), ("orders", "lineitem", "l_orderkey", "o_orderkey")], "parent string, child string, fk string, ref string")
+    return audit.internal_fk_audit(f, edges)
 
 
 # -- job states: the log has every customer of the job, its status by its key ----------------------------
@@ -540,9 +504,3 @@ def payload_sample_root(spark, sf_dir):
 @query(f"SELECT 'customer' AS \"table\", count(*) AS sample_rows, sum({_BYTES})::BIGINT AS bytes, (sum({_BYTES})::BIGINT * {SIZE} // count(*))::BIGINT AS projected_bytes FROM ({_FIRST})")
 def payload_bytes(spark, sf_dir):
     return payload(table(spark, sf_dir, "customer"), "customer", SIZE, "c_custkey", WHERE)
-
-
-@query(f"SELECT t AS \"table\", c AS columns, c * 8000 AS placeholders, c * 8000 >= {PLACEHOLDERS} AS too_many, {PLACEHOLDERS} // c AS rows_per_statement FROM (VALUES ('customer', 5), ('orders', 6), ('lineitem', 11)) AS v(t, c)")
-def payload_placeholder_check(spark, sf_dir):
-    rows = [{"table": t} | placeholders(len(df.columns), 8000) for t, df in job_tables(spark, sf_dir).items()]
-    return spark.createDataFrame([tuple(r.values()) for r in rows], "table string, columns int, placeholders int, too_many boolean, rows_per_statement int")
