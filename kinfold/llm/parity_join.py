@@ -250,7 +250,8 @@ def _rest(members: DataFrame, open_: DataFrame, sets: DataFrame, part: DataFrame
     """Pairs (u, v) that sketches leave open, in the buckets open_ (key, n) that hold several components.
 
     Members outside a bucket's most frequent component are held against all its members of other components: blocks
-    of the one side meet blocks of the other, many small buckets in one task.
+    of the one side meet blocks of the other, many small buckets in one task. A pair comes from the first of
+    these buckets that it shares.
     """
     m = members.join(open_.select("key"), "key", "left_semi").join(sets.select("node", "set_key", F.col("n").alias("size")), "node").join(part.withColumnRenamed("node", "set_key"), "set_key", "left")
     m = stage(m.select("key", "node", F.col("size").alias("n"), F.coalesce("component", "set_key").alias("component")), "mixed")
@@ -258,6 +259,7 @@ def _rest(members: DataFrame, open_: DataFrame, sets: DataFrame, part: DataFrame
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"))
     main = stage(main.where("parts > 1").drop("parts"), "main")
     m = stage(hot_join(m, main, ["key"], open_), "mixed")
+    own = m.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("own"))  # no more than the set has keys
     blocked = lambda df, name: running_sums(df, ["key"], [F.col("n"), F.col("node")], {"upto": F.greatest("n", F.lit(MEMBER))}, "blocks").select("key", "node", "n", "component", F.expr(f"cast((upto - 1) div {BLOCK} as int)").alias(name))
     every, odd = stage(blocked(m.drop("main"), "y"), "blocks"), stage(blocked(m.where("component <> main").drop("main"), "x"), "blocks")
     last = lambda df, b: df.groupBy("key").agg(F.max(b).alias("most"))
@@ -270,7 +272,8 @@ def _rest(members: DataFrame, open_: DataFrame, sets: DataFrame, part: DataFrame
     def run(g: pa.Table) -> pa.Table:
         out: set[tuple[int, int]] = set()
         g = g.sort_by([("task", "ascending"), ("side", "ascending")])
-        task, side, n, names = (g.column(c).to_numpy() for c in ("task", "side", "n", "node"))
+        task, side, n, names, key = (g.column(c).to_numpy() for c in ("task", "side", "n", "node", "key"))
+        own_keys = [x.values.to_numpy() for x in g.column("own")]
         component = np.unique(np.array(g.column("component").to_pylist(), object), return_inverse=True)[1]
         sigs = [np.frombuffer(x.as_buffer(), _U) for x in g.column("sig")]
         edges = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
@@ -283,8 +286,9 @@ def _rest(members: DataFrame, open_: DataFrame, sets: DataFrame, part: DataFrame
                 some = q[(np.minimum(n[q], n[p]) * den >= np.maximum(n[q], n[p]) * num) & (component[q] != component[p])]
                 apart = np.bitwise_count(sig[some - at] ^ sig[p - at]).sum(1, dtype=np.int64)
                 for j in some[apart <= most_difference(n[some], n[p], num, den)]:
-                    out.add((int(min(names[p], names[j])), int(max(names[p], names[j]))))
+                    if np.intersect1d(own_keys[p], own_keys[j])[0] == key[p]:
+                        out.add((int(min(names[p], names[j])), int(max(names[p], names[j]))))
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
-    full = rows.join(sets.select("node", "sig").hint("merge"), "node")
+    full = rows.join(sets.select("node", "sig").hint("merge"), "node").join(own.hint("merge"), "node")
     return full.groupBy("bin").applyInArrow(run, "u long, v long")
