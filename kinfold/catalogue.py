@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from kinfold import state
 from kinfold.functions.digest import table_digest
 from kinfold.graph import Graph
-from kinfold.operators import audit, digest_tree, many, measured
+from kinfold.operators import audit, digest_tree, many, measured, partition_delete, sketch_diff, unique_keys
 from kinfold.operators.closure import Keys, batches, closure, discovery_stats, expand, root_batch, table_counts
 from kinfold.operators.copy import conflicts, insert_ignore
 from kinfold.operators.estimate import estimate, payload
@@ -375,6 +377,64 @@ def verify_tree_diff(spark, sf_dir):
     return digest_tree.tree_diff(orders, destination_orders(orders), "o_orderkey", shape)
 
 
+_FEW = "SELECT * REPLACE (CASE WHEN o_orderkey % 700 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey % 500 <> 0"
+
+
+@query(ORACLE["verify_row_diff"].replace(_DEST, _FEW))
+def verify_sketch_diff(spark, sf_dir):
+    """Rows that differ from a destination with few differences, peeled from two sketches of its size."""
+    orders = table(spark, sf_dir, "orders")
+    changed = F.when(F.col("o_orderkey") % 700 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    return sketch_diff.sketch_diff(orders, orders.where("o_orderkey % 500 <> 0").withColumn("o_totalprice", changed), "o_orderkey")
+
+
+_EARLY = "o_orderdate < TIMESTAMP '1995-01-01 00:00:00' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (3, 7) OR c_mktsegment = 'BUILDING')"
+
+
+@query(
+    f"WITH o AS (SELECT *, year(o_orderdate)::INT AS o_year, {_EARLY} AS gone FROM orders) SELECT o_year, count(*) AS before, count(*) FILTER (gone) AS deleted, count(*) FILTER (NOT gone) AS \"left\", count(*) FILTER (NOT gone) AS read_back,"
+    " count(*) FILTER (gone) = 0 AS untouched FROM o GROUP BY o_year"
+)
+def purge_by_partition(spark, sf_dir):
+    """A delete of early orders from a table laid out by year: counts of every year, its rows as read back, and whether its files are the ones from before."""
+    orders = table(spark, sf_dir, "orders")
+    path = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    partition_delete.lay_out(orders.withColumn("o_year", F.year("o_orderdate")), path, "o_year")
+    files = lambda: spark.read.parquet(path).groupBy("o_year").agg(F.count("*").alias("rows"), F.collect_set("_metadata.file_path").alias("files"))
+    first = spark.createDataFrame(files().collect(), "o_year int, before long, files array<string>")  # one row a year
+    buyers = table(spark, sf_dir, "customer").where("c_nationkey in (3, 7) or c_mktsegment = 'BUILDING'")
+    early = expand(orders.where("o_orderdate < TIMESTAMP_NTZ'1995-01-01 00:00:00'"), "o_custkey", buyers.select("c_custkey"), ["o_orderkey"])
+    done = partition_delete.delete_keys(spark, path, Keys("o_orderkey", early), "o_year", "o_year < 1995")
+    after = files().select("o_year", F.col("rows").alias("read_back"), F.col("files").alias("now"))
+    out = first.join(done.select("o_year", "deleted"), "o_year", "left").join(after, "o_year", "left")
+    deleted = F.coalesce("deleted", F.lit(0))
+    return out.select("o_year", "before", deleted.alias("deleted"), (F.col("before") - deleted).alias("left"), F.coalesce("read_back", F.lit(0)).alias("read_back"), F.coalesce(F.array_sort("files") == F.array_sort("now"), F.lit(False)).alias("untouched"))
+
+
+UNIQUE_COLUMNS = {
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"], "orders": ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+}
+
+
+def _unique_sql() -> str:
+    """Every set of at most three columns by counting its groups, then those with no unique subset."""
+    each = []
+    for t, names in UNIQUE_COLUMNS.items():
+        for size in (1, 2, 3):
+            for c in combinations(sorted(names), size):
+                nulls = " OR ".join(f"{x} IS NULL" for x in c)
+                each.append(f"SELECT '{t}' AS \"table\", {list(c)} AS cols WHERE (SELECT count(*) FROM {t}) > 0 AND NOT EXISTS (SELECT 1 FROM {t} WHERE {nulls}) AND NOT EXISTS (SELECT 1 FROM {t} GROUP BY {', '.join(c)} HAVING count(*) > 1)")
+    return f"WITH u AS ({' UNION ALL '.join(each)}) SELECT \"table\", array_to_string(cols, ',') AS columns, len(cols)::INT AS size FROM u WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.\"table\" = u.\"table\" AND len(v.cols) < len(u.cols) AND list_has_all(u.cols, v.cols))"
+
+
+@query(_unique_sql())
+def measured_unique_keys(spark, sf_dir):
+    """All minimal unique sets of at most three of the given columns."""
+    each = [unique_keys.minimal_keys(table(spark, sf_dir, t), names, 3).select(F.lit(t).alias("table"), F.array_join("columns", ",").alias("columns"), F.size("columns").alias("size")) for t, names in UNIQUE_COLUMNS.items()]
+    return reduce(DataFrame.union, each)
+
+
 KEY_COLUMNS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"],
     "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "events": ["event_id", "user_id"], "documents": ["doc_id"], "labels": ["doc_id"],
