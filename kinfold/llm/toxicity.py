@@ -90,19 +90,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """Fit on at most sample_rows labelled texts that are not held out, taken in the order of a hash of their ids.
 
     labels: doc_id, toxic. Rows with a null id or label are ignored; a doc_id with several labels takes
-    the highest. Where ids have so many rows that their texts are more than sample_rows, as many different
-    ones are taken in the order of a hash of id and text. Without both labels in the sample the score is
-    their share, or 0.5.
+    the highest. Repeated rows of an id and text count once, however many there are. Where ids have more different
+    texts than sample_rows, as many are taken in the order of a hash of id and text. Without both labels in the
+    sample, as in an empty table, the score is their share, or 0.5.
     """
     python_ready(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = bounded_sample(known, sample_rows)
     # at most sample_rows ids: a bounded broadcast, and the only texts that move
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "h", F.col("toxic").cast("int").alias("toxic"))
-    texts = stage(rows, "labelled")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "h"])
+    texts = stage(rows.select("doc_id", "text", "h", F.col("toxic").cast("int").alias("toxic")), "labelled")
     if texts.count() > sample_rows:
-        some = bounded_sample(texts.select("doc_id", "h").distinct(), sample_rows, "doc_id", "h")
-        texts = stage(texts.join(F.broadcast(some), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "h", "toxic"), "labelled")
+        some = bounded_sample(texts.select("doc_id", "h"), sample_rows, "doc_id", "h")
+        texts = stage(texts.join(F.broadcast(some), ["doc_id", "h"]).select("doc_id", "text", "h", "toxic"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << HASH_BITS), np.int64)
@@ -150,7 +150,11 @@ def _scores(column: pa.Array, model: Model) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every row: 0 to 1, higher where label 1 is likelier. Null texts score as empty ones do."""
+    """doc_id and score of every row: 0 to 1, higher where label 1 is likelier.
+
+    Null texts score as empty ones do, repeated rows each have their own row, an empty table gives none, and columns
+    other than these two, whatever their names, are left out.
+    """
     python_ready(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -162,7 +166,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all their columns, that score below the threshold."""
+    """The rows of docs, all their columns, that score below the threshold. Repeated rows stay or go together; rows with a null id are judged by their text."""
     python_ready(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 

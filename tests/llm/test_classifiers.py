@@ -84,3 +84,14 @@ def test_an_id_with_many_rows_stays_within_the_sample(spark, monkeypatch):
     assert seen[0] == 100 and 2 <= seen[1] <= 100
     score = {r.doc_id: r.score for r in toxicity.score(docs.limit(2), model).collect()}
     assert score[2] > 0.5 > score[1]
+
+
+def test_repeated_rows_weigh_nothing(spark):
+    """Texts of ids that come again and again give the model of the texts alone, below the bound and above it."""
+    rows = [(k, f"{'bad awful' if k % 3 == 0 else 'good kind'} words of {k}") for k in range(60)]
+    known = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    again = spark.createDataFrame(rows + rows[:9] * 40, "doc_id long, text string")
+    for bound in (20_000, 30):
+        a, b = toxicity.fit(once, known, bound), toxicity.fit(again, known, bound)
+        assert np.allclose(a.weights, b.weights) and a.bias == b.bias
