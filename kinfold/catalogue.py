@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold import state
-from kinfold.functions.digest import table_digest
+from kinfold.functions.digest import byte_size, table_digest
 from kinfold.graph import Graph
-from kinfold.operators import audit, digest_tree, many, measured, partition_delete, sketch_diff, unique_keys
+from kinfold.operators import audit, cuts, digest_tree, many, measured, partition_delete, sketch_diff, unique_keys
 from kinfold.operators.closure import Keys, batches, closure, discovery_stats, expand, root_batch, table_counts
 from kinfold.operators.copy import conflicts, insert_ignore
 from kinfold.operators.estimate import estimate, payload
@@ -564,3 +564,18 @@ def payload_sample_root(spark, sf_dir):
 @query(f"SELECT 'customer' AS \"table\", count(*) AS sample_rows, sum({_BYTES})::BIGINT AS bytes, (sum({_BYTES})::BIGINT * {SIZE} // count(*))::BIGINT AS projected_bytes FROM ({_FIRST})")
 def payload_bytes(spark, sf_dir):
     return payload(table(spark, sf_dir, "customer"), "customer", SIZE, "c_custkey", WHERE)
+
+
+_ORDER_BYTES, BUDGET = "32 + coalesce(strlen(o_orderstatus) + 2, 4) + coalesce(strlen(o_orderpriority) + 2, 4)", 4000
+
+
+@query(
+    f"WITH RECURSIVE p AS (SELECT *, (sum(s) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING))::BIGINT AS upto, row_number() OVER (ORDER BY k) AS i FROM (SELECT o_orderkey AS k, ({_ORDER_BYTES})::BIGINT AS s FROM orders)),"
+    f" c(i, before) AS (SELECT i, upto - s FROM p WHERE i = 1 UNION ALL SELECT min(p.i), min(p.upto - p.s) FROM c JOIN p ON p.i > c.i AND p.upto > c.before + {BUDGET} GROUP BY c.i),"
+    " b AS (SELECT p.*, sum((c.i IS NOT NULL)::INT) OVER (ORDER BY p.i)::BIGINT - 1 AS batch FROM p LEFT JOIN c ON c.i = p.i)"
+    " SELECT batch, count(*) AS rows, sum(s)::BIGINT AS bytes, min(k) AS first_key, max(k) AS checkpoint FROM b GROUP BY batch"
+)
+def cuts_by_bytes(spark, sf_dir):
+    """All orders in batches of as many rows as a statement of BUDGET bytes takes."""
+    orders = table(spark, sf_dir, "orders")
+    return cuts.cuts(orders, "o_orderkey", byte_size(orders.schema), BUDGET)
