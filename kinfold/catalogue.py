@@ -6,6 +6,7 @@ What a run would have left behind (a job log, a destination) is derived from the
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -25,6 +26,7 @@ from kinfold.operators.estimate import estimate, payload
 from kinfold.operators.purge import delete_chunks, key_uniqueness, orphans, remaining
 from kinfold.operators.verify import by_count, by_digest, row_diff
 from kinfold.operators.zones import Zoned
+from kinfold.sources import footers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -579,3 +581,50 @@ def cuts_by_bytes(spark, sf_dir):
     """All orders in batches of as many rows as a statement of BUDGET bytes takes."""
     orders = table(spark, sf_dir, "orders")
     return cuts.cuts(orders, "o_orderkey", byte_size(orders.schema), BUDGET)
+
+
+# -- footers ---------------------------------------------------------------------------------------------
+
+FOOTER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels", "benchmark")
+
+
+def _footer_sql() -> str:
+    """Rows and nulls of each column by reading all rows."""
+    return " UNION ALL ".join(f"SELECT '{t}' AS \"table\", u.column_name AS \"column\", (SELECT count(*) FROM {t}) AS rows, (SELECT count(*) FROM {t}) - u.n AS nulls FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE n) u" for t in FOOTER_TABLES)
+
+
+@query(_footer_sql())
+def footer_counts(spark, sf_dir):
+    """Rows and nulls of every column, from footers alone."""
+    each = [footers.totals(footers.footers(spark, f"{sf_dir}/{t}.parquet")).select(F.lit(t).alias("table"), "column", "rows", "nulls") for t in FOOTER_TABLES]
+    return reduce(DataFrame.union, each)
+
+
+#: Parts of a table that were written with other columns, in SQL that both sides understand.
+VARIANTS = {
+    "a": ("o_orderkey % 2 = 0", "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"),
+    "b": ("o_orderkey % 4 = 1", "o_orderkey, cast(o_custkey AS INT) AS o_custkey, o_orderstatus, cast(o_totalprice AS DECIMAL(15, 2)) AS o_totalprice, o_orderdate, o_orderpriority"),
+    "c": ("o_orderkey % 4 = 3", "o_orderkey, o_orderstatus, o_custkey, o_totalprice, o_orderpriority, o_custkey % 7 AS o_clerk"),
+}
+
+
+def _drift_sql() -> str:
+    kind = "CASE WHEN column_type = 'BIGINT' THEN 'int64' WHEN column_type = 'INTEGER' THEN 'int32' WHEN column_type = 'VARCHAR' THEN 'string' WHEN column_type LIKE 'DECIMAL%' THEN 'decimal128' || replace(column_type[8:], ',', ', ') WHEN column_type = 'TIMESTAMP' THEN 'timestamp[us]' ELSE lower(column_type) END"
+    of = lambda v: f"SELECT column_name AS c, {kind} AS t, row_number() OVER () AS p FROM (DESCRIBE SELECT {VARIANTS[v][1]} FROM orders)"
+    each = []
+    for v in VARIANTS:
+        both = f"SELECT coalesce(e.c, f.c) AS \"column\", e.t AS et, f.t AS ft, CASE WHEN e.c = f.c THEN row_number() OVER (PARTITION BY e.c = f.c ORDER BY e.p) - 1 END AS ep, CASE WHEN e.c = f.c THEN row_number() OVER (PARTITION BY e.c = f.c ORDER BY f.p) - 1 END AS fp FROM ({of('a')}) e FULL JOIN ({of(v)}) f ON e.c = f.c"
+        kinds = f"SELECT \"column\", CASE WHEN ft IS NULL THEN 'missing' WHEN et IS NULL THEN 'extra' WHEN et <> ft THEN 'type' END AS kind, et AS expected, ft AS found FROM ({both}) UNION ALL SELECT \"column\", CASE WHEN ep <> fp THEN 'moved' END, ep::VARCHAR, fp::VARCHAR FROM ({both})"
+        each.append(f"SELECT '{v}' AS variant, *, (SELECT count(*) FROM orders WHERE {VARIANTS[v][0]}) AS rows FROM ({kinds}) WHERE kind IS NOT NULL")
+    return " UNION ALL ".join(each)
+
+
+@query(_drift_sql())
+def schema_drift(spark, sf_dir):
+    """How the files of a table that was written in variants differ from the columns that most of its rows have."""
+    path = f"{shared_folder(spark)}/variants-{uuid.uuid4().hex}"
+    for v, (where, columns) in VARIANTS.items():
+        table(spark, sf_dir, "orders").where(where).selectExpr(*[c.strip() for c in re.split(r",(?![^(]*\))", columns)]).write.parquet(f"{path}/variant={v}")
+    found = footers.footers(spark, path)
+    each = footers.drift(found, footers.usual(found)).withColumn("variant", F.regexp_extract("file", "variant=([a-z])/", 1))
+    return each.groupBy("variant", "column", "kind", "expected", "found").agg(F.sum("file_rows").alias("rows"))
