@@ -29,6 +29,8 @@ from kinfold.llm.common import remove, ship, stage
 
 #: Ids of a block, unless one document has more, and ids between two checkpoints.
 BLOCK_IDS, LANE = 1 << 17, 128
+#: Stands for a null doc_id in the order of ids.
+FIRST_ID = -(1 << 63)
 #: Longest code word; the decoding table has 2 to this power entries.
 MAX_BITS = 18
 #: Words that a worker remembers the ids of.
@@ -208,12 +210,16 @@ def _encode(docs: DataFrame, tokenizer: str, end_id: int, cuts: list[int]) -> Da
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                part = np.searchsorted(bounds, batch.column("doc_id").cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False))
+                key = batch.column("doc_id").cast(pa.int64()).fill_null(FIRST_ID).to_numpy(zero_copy_only=False)
+                part, last = np.searchsorted(bounds, key), np.searchsorted(bounds, key, "right")
+                # an id at which several ranges end fills them all: its rows go to any of them
+                width = np.where(last - part > 1, last - part + 1, 1)
+                part = part + ((batch.column("hash").to_numpy().view(np.uint64) >> np.uint64(40)).astype(np.int64) * width >> 24)
                 ids = [np.append(x, x.dtype.type(end_id)) for x in to_ids.encode(batch.column("text").to_pylist())]
                 n, packed = [len(x) for x in ids], [bytes([x.itemsize]) + pack.compress(x.tobytes()) for x in ids]
                 yield pa.record_batch([pa.array(part, pa.int32()), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["part", "doc_id", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"part int, doc_id {kind}, n long, ids binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"part int, doc_id {kind}, n long, ids binary")
 
 
 def _unpack(x: bytes) -> np.ndarray:
@@ -225,14 +231,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
 
     Documents are dealt out by ranges of doc_id, as many as the session has shuffle partitions, encoded
     once and kept compressed in the shared folder until the counts over all documents have given the
-    code. Null texts are empty; null doc_ids come first; rows with equal doc_ids follow in the order of
-    their ids. An empty table writes no block. Other columns are ignored.
+    code. doc_ids are whole numbers. Null texts are empty; null doc_ids come first; rows with equal doc_ids follow in the
+    order of their ids. A doc_id, or null, that fills several ranges has its rows dealt out to them by a hash of their
+    texts, and the order of ids holds within each. An empty table writes no block. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts or []})
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID))
+    cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+    cuts = sorted(int(c) for c in cuts or [])
     held = f"{path}/ids"
     ids = stage(_encode(docs, tokenizer, end_id, cuts).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "n", "ids"), "ids", held)
 

@@ -98,3 +98,22 @@ def test_edges(spark, tmp_path, monkeypatch):
     assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
     huffman.write(df.limit(0), f"file://{tmp_path}/c", Q.word_bpe())
     assert huffman.read(spark, f"file://{tmp_path}/c").count() == 0
+
+
+@pytest.mark.parametrize("hot", [None, 70, 7])
+def test_an_id_of_a_third_of_the_rows_is_spread(spark, tmp_path, hot):
+    """By the ids that each range holds; no row is lost and ids still ascend."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        docs = spark.createDataFrame([(hot if i % 3 == 0 else i, f"text number {i} " + "of words " * 5) for i in range(900)], "doc_id long, text string")
+        huffman.write(docs, str(tmp_path / "f"), Q.word_bpe())
+        parts = {r.part: r.n for r in spark.read.parquet(f"{tmp_path}/f/blocks").groupBy("part").agg({"n_ids": "sum"}).toDF("part", "n").collect()}
+        rows = huffman.read(spark, str(tmp_path / "f")).orderBy("start").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    each = sorted(parts.values())
+    assert each[-1] < 2 * each[len(each) // 2]
+    assert len(rows) == 900 and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(900)]
+    ids = [-1 if r.doc_id is None else r.doc_id for r in rows]
+    assert ids == sorted(ids)
