@@ -158,7 +158,8 @@ def near_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
         stars = stage(_similar(stars, need).distinct(), "stars")
         # candidates grow with the input: one plan at every size, whatever a broadcast threshold may say
         wanted = members.select("node").distinct().join(node.select("node", "doc.*"), "node").hint("merge")
-        texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, ["doc_id", "text_hash"])
+        # a row is there once before it meets its node: however often it is repeated, tasks send one of it
+        texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).dropDuplicates(["doc_id", "text_hash"]).join(wanted, ["doc_id", "text_hash"])
         sets = stage(full_sets(texts, shingle), "sets")
         links = stage(_confirm(stars, sets, num, den), "links")
         part = components(links)

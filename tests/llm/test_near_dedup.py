@@ -71,6 +71,17 @@ def test_edges(spark):
     assert near_dedup.near_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_row_repeated_for_a_third_of_the_table_meets_its_node_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:59], "other"])
+    rows = [(4, " ".join(words))] * 200 + [(2, near)] + [(i, f"text {i} has words of its own, {i} of them") for i in range(10, 400)]
+    seen = []
+    monkeypatch.setattr(near_dedup, "full_sets", lambda docs, size, f=near_dedup.full_sets: seen.append(docs.count()) or f(docs, size))
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows) and seen == [2]
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 2 if i in (2, 4) else i) for i, _ in rows}
+
+
 @pytest.mark.parametrize("t", [0.8, 0.85])
 def test_banding_misses_next_to_nothing(t):
     rows, bands = near_dedup.banding(t)
