@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import decontaminate, huffman, mixing, near_dedup, toxicity
-from kinfold.llm.common import WORD, free_name, passing, read, row_key, scratch, stage
+from kinfold.llm.common import WORD, free_name, hot_join, passing, read, row_key, scratch, stage
 from kinfold.llm.queries import word_bpe
 
 ORACLE_SQL = None
@@ -43,10 +43,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window similar to a benchmark item. Each row is judged by its own text, whatever its doc_id."""
-    hit = free_name(docs, "_hit")
+    hit, found = free_name(docs, "_hit"), free_name(docs, "_found")
     key = F.concat_ws("/", F.xxhash64("text"), F.hash("text", F.lit(7)))
     hits = decontaminate.contaminations(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    return docs.withColumn(hit, key).join(hits.select(F.col("doc_id").alias(hit)).distinct(), hit, "left_anti").select(docs.columns)
+    hits = stage(hits.select(F.col("doc_id").alias(hit)).distinct().withColumn(found, F.lit(True)), "hits")
+    # a text may be that of any share of the rows
+    judged = hot_join(docs.withColumn(hit, key), hits, [hit], how="left")
+    return judged.where(F.isnull(found)).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
