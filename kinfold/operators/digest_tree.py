@@ -54,27 +54,27 @@ class Shape:
 
 
 def digest_tree(table: DataFrame, key: str, shape: Shape) -> DataFrame:
-    """level, node, rows, digest of all nodes that have rows. Level 0 is the root, level depth the leaves."""
+    """level, node, rows, digest of all nodes that have rows. Level 0 is the root, level depth the leaves. The table is read once, whatever the depth: each leaf's sums go to all nodes above it."""
     sums = ["rows", "s0", "s1", "s2", "s3"]
-    rows = table.select(shape.leaf(key).alias("node"), row_digest(table.schema).alias("d"))
-    level = rows.groupBy("node").agg(F.count("*").alias("rows"), *digest_sums())
-    levels = [level.withColumn("level", F.lit(shape.depth))]
-    for k in range(shape.depth - 1, -1, -1):
-        up = F.floor(F.col("node") / shape.fanout ** (shape.depth - k)).cast("long").alias("node")
-        levels.append(level.groupBy(up).agg(*[F.sum(c).cast("long" if c == "rows" else "decimal(38,0)").alias(c) for c in sums]).withColumn("level", F.lit(k)))
-    return reduce(DataFrame.unionByName, levels).select("level", "node", "rows", sums_text().alias("digest"))
+    rows = table.select(shape.leaf(key).alias("leaf"), row_digest(table.schema).alias("d"))
+    leaves = rows.groupBy("leaf").agg(F.count("*").alias("rows"), *digest_sums())
+    above = [F.struct(F.lit(k).alias("level"), F.floor(F.col("leaf") / shape.fanout ** (shape.depth - k)).cast("long").alias("node")) for k in range(shape.depth + 1)]
+    each = leaves.select(F.explode(F.array(*above)).alias("at"), *sums).select("at.level", "at.node", *sums)
+    nodes = each.groupBy("level", "node").agg(*[F.sum(c).cast("long" if c == "rows" else "decimal(38,0)").alias(c) for c in sums])
+    return nodes.select("level", "node", "rows", sums_text().alias("digest"))
 
 
 def differing_leaves(a: DataFrame, b: DataFrame, shape: Shape) -> DataFrame:
-    """leaf: the leaves whose digests differ in the trees a and b. Below a node that is the same on both sides nothing is looked at."""
-    open_ = None
+    """leaf: the leaves whose digests differ in the trees a and b. Below a node that is the same on both sides nothing is looked at. A level names the one above it once, so that the plan grows with the depth and not with its power of two."""
+    both, open_ = a.select("level", "node", "digest").unionByName(b.select("level", "node", "digest")), None
     for k in range(shape.depth + 1):
-        x, y = (t.where(F.col("level") == k).select("node", F.col("digest").alias(c)) for t, c in ((a, "x"), (b, "y")))
+        level = both.where(F.col("level") == k).select("node", "digest")
         if open_ is not None:
-            below = open_.select(F.col("node").alias("_up"))
             up = F.floor(F.col("node") / shape.fanout).cast("long")
-            x, y = (t.withColumn("_up", up).join(below, "_up", "left_semi").drop("_up") for t in (x, y))
-        open_ = x.join(y, "node", "full").where(~F.col("x").eqNullSafe(F.col("y"))).select("node")
+            # nodes are distinct; a semi-join would be pushed into both sides of the union, and double the levels above
+            level = level.withColumn("_up", up).join(open_.withColumnRenamed("node", "_up"), "_up")
+        # a tree has a node once: a digest that is there once is of one side
+        open_ = level.groupBy("node", "digest").agg(F.count("*").alias("n")).where("n = 1").select("node").distinct()
     return open_.withColumnRenamed("node", "leaf")
 
 
@@ -91,8 +91,12 @@ def rows_of(table: DataFrame, key: str, shape: Shape, leaves: DataFrame) -> Data
 def tree_diff(source: DataFrame, destination: DataFrame, key: str, shape: Shape, source_tree: DataFrame | None = None, destination_tree: DataFrame | None = None) -> DataFrame:
     """As row_diff(): key and difference of every row that is not the same on both sides. Rows are compared in differing leaves only; trees that were kept are not made again."""
     d = destination.select(*source.columns)
-    a = source_tree if source_tree is not None else digest_tree(source, key, shape)
-    b = destination_tree if destination_tree is not None else digest_tree(d, key, shape)
+    # every level reads the trees: those that are made here are kept until the leaves are known
+    a = source_tree if source_tree is not None else digest_tree(source, key, shape).persist()
+    b = destination_tree if destination_tree is not None else digest_tree(d, key, shape).persist()
     leaves = differing_leaves(a, b, shape).persist()
-    found = row_diff(rows_of(source, key, shape, leaves), rows_of(d, key, shape, leaves), key)
-    return found
+    leaves.count()
+    for kept, tree in ((source_tree, a), (destination_tree, b)):
+        if kept is None:
+            tree.unpersist()
+    return row_diff(rows_of(source, key, shape, leaves), rows_of(d, key, shape, leaves), key)

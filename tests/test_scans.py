@@ -95,6 +95,20 @@ def test_tree_finds_the_rows_that_differ(spark, monkeypatch, ranges):
     assert digest_tree.Shape.over(a.limit(0), "id").depth == 1
 
 
+def test_comparing_trees_grows_with_their_depth(spark):
+    """The plan was doubled by each level, and a tree read its table once for each level."""
+    a = spark.range(3000).withColumn("v", F.col("id") * 3)
+    b = a.withColumn("v", F.when(F.col("id") % 1000 == 7, -1).otherwise(F.col("v")))
+    shape = digest_tree.Shape.over(a, "id", 5, 4)
+    assert shape.depth == 5
+    ranges = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Range (")
+    x, y = digest_tree.digest_tree(a, "id", shape), digest_tree.digest_tree(b, "id", shape)
+    assert ranges(x) == 1
+    leaves = digest_tree.differing_leaves(x, y, shape)
+    assert ranges(leaves) == 2 * (shape.depth + 1)  # each level is taken from both trees
+    assert sorted(r.leaf for r in leaves.collect()) == sorted({i // shape.width for i in (7, 1007, 2007)})
+
+
 def test_ranges_reach_the_reader(spark, tmp_path):
     spark.range(1000).write.parquet(f"{tmp_path}/t")
     t = spark.read.parquet(f"{tmp_path}/t")
