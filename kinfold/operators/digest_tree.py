@@ -39,7 +39,8 @@ class Shape:
         depth = 1
         while fanout**depth * rows_per_leaf < r.n:
             depth += 1
-        return cls(a, (b - a) // fanout**depth + 1, fanout, depth)
+        # not all of fanout ** depth: leaves would be up to fanout times smaller, and a tree as much larger
+        return cls(a, (b - a) * rows_per_leaf // max(1, r.n) + 1, fanout, depth)
 
     def leaf(self, key: str) -> Column:
         at = F.floor((F.col(key) - F.lit(self.start)) / F.lit(self.width)).cast("long")
@@ -92,8 +93,9 @@ def tree_diff(source: DataFrame, destination: DataFrame, key: str, shape: Shape,
     """As row_diff(): key and difference of every row that is not the same on both sides. Rows are compared in differing leaves only; trees that were kept are not made again."""
     d = destination.select(*source.columns)
     # every level reads the trees: those that are made here are kept until the leaves are known
-    a = source_tree if source_tree is not None else digest_tree(source, key, shape).persist()
-    b = destination_tree if destination_tree is not None else digest_tree(d, key, shape).persist()
+    made = lambda t: digest_tree(t, key, shape).coalesce(t.sparkSession.sparkContext.defaultParallelism).persist()
+    a = source_tree if source_tree is not None else made(source)
+    b = destination_tree if destination_tree is not None else made(d)
     leaves = differing_leaves(a, b, shape).persist()
     leaves.count()
     for kept, tree in ((source_tree, a), (destination_tree, b)):

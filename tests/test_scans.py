@@ -109,6 +109,16 @@ def test_comparing_trees_grows_with_their_depth(spark):
     assert sorted(r.leaf for r in leaves.collect()) == sorted({i // shape.width for i in (7, 1007, 2007)})
 
 
+@pytest.mark.parametrize("n", [300, 5200, 10_000])
+def test_a_tree_is_a_fixed_share_of_its_table(spark, n):
+    """Leaves were up to fanout times smaller than asked for, so that a tree grew in steps of 16."""
+    a = spark.range(n)
+    shape = digest_tree.Shape.over(a, "id", 20)
+    leaves = digest_tree.digest_tree(a, "id", shape).where(F.col("level") == shape.depth)
+    got = [r.rows for r in leaves.collect()]
+    assert sum(got) == n and max(got) <= 20 and len(got) <= n // 20 + 1
+
+
 def test_ranges_reach_the_reader(spark, tmp_path):
     spark.range(1000).write.parquet(f"{tmp_path}/t")
     t = spark.read.parquet(f"{tmp_path}/t")
